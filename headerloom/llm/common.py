@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW_KEY = "__row_key"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
@@ -56,3 +53,13 @@ def ascii_lower(text: Column) -> Column:
 def hex_digits(value: Column) -> Column:
     """A signed 64-bit integer as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+def in_order(df: DataFrame, order: list[Column], name: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, staged, with (part, nth): files in order and rows from 0 in each.
+
+    The staged table fixes the partition bounds, so totals taken from it and rows read from it agree.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.monotonically_increasing_id())
+    nth = F.col("part").bitwiseAND(F.lit((1 << 33) - 1))
+    return staged(ordered.withColumns({"nth": nth, "part": F.shiftright("part", 33).cast("int"), **(extra or {})}), name)
