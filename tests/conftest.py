@@ -1,0 +1,39 @@
+"""One local session for all tests."""
+
+import sys
+import tempfile
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).parent.parent))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    session = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "6g")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.local.dir", scratch)
+        .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
+        .config("spark.checkpoint.dir", f"{scratch}/shared")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+
+
+@pytest.fixture(scope="session")
+def tiny():
+    return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def small():
+    return "/root/testdata/sf0.01"
