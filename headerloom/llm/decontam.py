@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from headerloom.llm.common import ascii_lower, staged
 
 WINDOW = 10
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS_PER_PASS = 20_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words are what stands between runs of other characters; splitting is much cheaper than extracting every match."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
