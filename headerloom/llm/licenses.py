@@ -19,6 +19,8 @@ are ignored; known sentences that no rule explains are counted as unexplained.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,43 +99,47 @@ def normalised(piece: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(piece), "[^a-z0-9]+", " "))
 
 
-def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+def with_sentence_ids(docs: DataFrame, id_col: str, text_col: str, sentences: dict[str, str] = SENTENCES) -> DataFrame:
+    """``id_col`` and ids: the identifiers of each text's known sentences, in order.
+
+    Each step is a projection of its own, so that no text is cut up twice.
+    """
     loose = [s for s in sentences if not any(k in s for k in KEYWORDS)]
     if loose:
         raise ValueError(f"without a keyword: {loose}")
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _BREAK), normalised), lambda p: p != "")
-    worded = F.when(ascii_lower(F.coalesce(text, F.lit(""))).rlike("|".join(KEYWORDS)), pieces).otherwise(F.array().cast("array<string>"))
     begins = F.array(*[F.lit(s) for s in sentences])
+    lower = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(id_col, "text", F.lower("text").alias("low"))
+    marked = reduce(or_, [F.contains(F.col("low"), F.lit(k)) for k in KEYWORDS])
+    raw = lower.select(id_col, F.when(marked, F.split("text", _BREAK)).otherwise(F.array().cast("array<string>")).alias("raw"))
+    pieces = raw.select(id_col, F.filter(F.transform("raw", normalised), lambda p: p != "").alias("p"))
     # A piece that begins no known sentence can't be the first line of one.
-    starts = F.filter(F.transform(worded, lambda p, i: F.when(F.exists(begins, lambda s: F.startswith(s, p)), i)), lambda i: i.isNotNull())
-    runs = F.transform(
-        starts,
-        lambda i: F.filter(F.transform(F.array(*[F.lit(k) for k in range(1, MOST_LINES + 1)]), lambda k: F.when(i + k <= F.size(worded), F.try_element_at(known, F.array_join(F.slice(worded, i + 1, k), " ")))), lambda x: x.isNotNull()),
-    )
-    return F.flatten(runs)
+    starts = pieces.select(id_col, "p", F.filter(F.transform("p", lambda p, i: F.when(F.exists(begins, lambda s: F.startswith(s, p)), i)), lambda i: i.isNotNull()).alias("at"))
+    lengths = F.array(*[F.lit(k) for k in range(1, MOST_LINES + 1)])
+    runs = F.transform("at", lambda i: F.filter(F.transform(lengths, lambda k: F.when(i + k <= F.size("p"), F.try_element_at(known, F.array_join(F.slice("p", i + 1, k), " ")))), lambda x: x.isNotNull()))
+    return starts.select(id_col, F.flatten(runs).alias("ids"))
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``id_col``, sentence_ids (in order), licenses (sorted), kind (the strictest) and n_unexplained of each row."""
-    found = docs.select(F.col(id_col), F.transform(sentence_ids(F.col(text_col), sentences), lambda x: F.concat(F.lit("<"), x, F.lit(">"))).alias("ids"))
-    found = found.select(id_col, F.array_join("ids", "").alias("sentence_ids"))
+    named = with_sentence_ids(docs, id_col, text_col, sentences)
+    found = named.select(id_col, F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("sentence_ids"))
     left, hits = F.col("sentence_ids"), []
-    for k, rule in enumerate(rules):
+    for rule in rules:
         mark = "".join(f"<{s}>" for s in rule.sentences)
-        found = found.withColumn(f"__hit_{k}", F.contains(left, F.lit(mark))).withColumn(f"__left_{k}", F.replace(left, F.lit(mark), F.lit("|")))
-        left = F.col(f"__left_{k}")
-        hits.append(F.when(F.col(f"__hit_{k}"), F.struct(F.lit(rule.licence).alias("licence"), F.lit(rule.kind).alias("kind"))))
-    met = F.array_compact(F.array(*hits))
-    kinds = F.transform(met, lambda r: r["kind"])
+        hits.append(F.when(F.contains(left, F.lit(mark)), F.struct(F.lit(rule.licence).alias("licence"), F.lit(rule.kind).alias("kind"))))
+        left = F.replace(left, F.lit(mark), F.lit("|"))
+    # Only short strings of identifiers are matched here, and mostly empty ones.
+    none = F.array().cast("array<struct<licence:string,kind:string>>")
+    met = found.select(id_col, "sentence_ids", F.when(F.col("sentence_ids") == "", none).otherwise(F.array_compact(F.array(*hits))).alias("met"), F.when(F.col("sentence_ids") == "", F.lit("")).otherwise(left).alias("left"))
+    kinds = F.transform("met", lambda r: r["kind"])
     kind = F.coalesce(*[F.when(F.array_contains(kinds, k), F.lit(k)) for k in KINDS], F.lit("none"))
-    return found.select(
+    return met.select(
         id_col,
         "sentence_ids",
-        F.array_join(F.array_sort(F.array_distinct(F.transform(met, lambda r: r["licence"]))), ",").alias("licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("met", lambda r: r["licence"]))), ",").alias("licenses"),
         kind.alias("kind"),
-        (F.length(left) - F.length(F.replace(left, F.lit("<"), F.lit("")))).cast("long").alias("n_unexplained"),
+        (F.length("left") - F.length(F.replace(F.col("left"), F.lit("<"), F.lit("")))).cast("long").alias("n_unexplained"),
     )
 
 
