@@ -12,10 +12,10 @@ WITH h AS (
     CASE l_suppkey % 4 WHEN 0 THEN '10.1.2.' || l_suppkey % 200 WHEN 1 THEN '93.184.' || l_suppkey % 100 || '.' || l_suppkey % 250 WHEN 2 THEN '203.0.113.' || l_suppkey % 250 ELSE '192.168.1.' || l_suppkey % 250 END AS ip,
     CASE l_suppkey % 4 WHEN 1 THEN 'public' WHEN 2 THEN 'documentation' ELSE 'private' END AS ip_class,
     CASE CAST(floor(l_quantity) AS INT) % 3 WHEN 0 THEN '+0000' WHEN 1 THEN '+0300' ELSE '-0500' END AS zone,
-    CAST(epoch(date_trunc('day', l_shipdate)) AS BIGINT) + l_partkey * 7919 % 86400 - CASE CAST(floor(l_quantity) AS INT) % 3 WHEN 0 THEN 0 WHEN 1 THEN 10800 ELSE -18000 END AS at,
+    CAST(epoch(date_trunc('day', l_shipdate)) AS BIGINT) + l_partkey * 7919 % 86400 - CASE CAST(floor(l_quantity) AS INT) % 3 WHEN 0 THEN 0 WHEN 1 THEN 10800 ELSE -18000 END AS sec,
     CASE l_linenumber % 3 WHEN 0 THEN 'SMTP' WHEN 1 THEN 'ESMTPS' ELSE 'ESMTP' END AS protocol
   FROM lineitem l),
-p AS (SELECT *, lag(hop) OVER w AS b_hop, lag(at) OVER w AS b_at, lag(ip_class) OVER w AS b_class FROM h WINDOW w AS (PARTITION BY l_orderkey ORDER BY hop DESC))
+p AS (SELECT *, lag(hop) OVER w AS b_hop, lag(sec) OVER w AS b_sec, lag(ip_class) OVER w AS b_class FROM h WINDOW w AS (PARTITION BY l_orderkey ORDER BY hop DESC))
 """
 
 _MAIL = """
@@ -47,7 +47,7 @@ def _compare(a: str, b: str) -> str:
 _RULES = f"""
 {_HOPS},
 {_MAIL.strip()},
-r AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE at < b_at) AS skews, bool_or(l_partkey % 3 = 0) AS trusted, bool_or(protocol <> 'ESMTPS') AS plain FROM p GROUP BY 1),
+r AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE sec < b_sec) AS skews, bool_or(l_partkey % 3 = 0) AS trusted, bool_or(protocol <> 'ESMTPS') AS plain FROM p GROUP BY 1),
 x AS (
   SELECT m.*, coalesce(n, 0) AS n, coalesce(skews, 0) AS skews, coalesce(trusted, false) AS trusted, coalesce(plain, false) AS plain,
     {_compare(_ENVELOPE, "fd")} AS spf_al, {_compare("d", "fd")} AS dkim_al
@@ -82,11 +82,11 @@ t AS (SELECT o_orderkey, v, (v // 16777216) || '.' || (v // 65536 % 256) || '.'
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "route_transit": f"{_HOPS} SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, count(hop) AS n_hops, CAST(sum(at - b_at) FILTER (WHERE at >= b_at) AS DOUBLE) AS transit, count(*) FILTER (WHERE at < b_at) AS n_skews FROM orders LEFT JOIN p ON l_orderkey = o_orderkey GROUP BY 1",
-    "route_hops": f"{_HOPS} SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, hop AS hop_idx, 'h' || l_suppkey || '.example.net' AS from_host, 'r' || l_suppkey || '.example.org' AS from_rdns, 'mx' || l_partkey % 5 || CASE WHEN l_partkey % 3 = 0 THEN '.corp.example' ELSE '.relay.example' END AS by_host, protocol, 'q' || l_partkey AS queue_id, '<u' || l_suppkey || '@to.example>' AS for_recipient, ip AS primary_ip, ip_class AS primary_ip_class, at, zone AS original_offset FROM h",
+    "route_transit": f"{_HOPS} SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, count(hop) AS n_hops, CAST(sum(sec - b_sec) FILTER (WHERE sec >= b_sec) AS DOUBLE) AS transit, count(*) FILTER (WHERE sec < b_sec) AS n_skews FROM orders LEFT JOIN p ON l_orderkey = o_orderkey GROUP BY 1",
+    "route_hops": f"{_HOPS} SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, hop AS hop_idx, 'h' || l_suppkey || '.example.net' AS from_host, 'r' || l_suppkey || '.example.org' AS from_rdns, 'mx' || l_partkey % 5 || CASE WHEN l_partkey % 3 = 0 THEN '.corp.example' ELSE '.relay.example' END AS by_host, protocol, 'q' || l_partkey AS queue_id, '<u' || l_suppkey || '@to.example>' AS for_recipient, ip AS primary_ip, ip_class AS primary_ip_class, sec AS unix_seconds, zone AS original_offset FROM h",
     "route_tls": f"{_HOPS} SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, count(*) FILTER (WHERE protocol = 'ESMTPS') AS n_tls, count(*) FILTER (WHERE protocol <> 'ESMTPS') AS n_plain FROM h GROUP BY 1",
-    "route_delays": f"{_HOPS} SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, b_hop AS from_hop, hop AS to_hop, CAST(at - b_at AS DOUBLE) AS seconds, at < b_at AS is_clock_skew, at - b_at > 3600 AS is_late FROM p WHERE b_at IS NOT NULL",
-    "route_trust_boundary": f"{_HOPS}, t AS (SELECT l_orderkey, max(hop) FILTER (WHERE l_partkey % 3 = 0) AS hop, arg_max(ip, hop) FILTER (WHERE l_partkey % 3 = 0) AS ip, arg_max(ip, hop) AS first_ip FROM h GROUP BY 1) SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, hop AS trusted_hop, CASE WHEN hop IS NULL THEN 'low' ELSE 'high' END AS boundary_confidence, coalesce(ip, first_ip) AS connecting_ip FROM orders LEFT JOIN t ON l_orderkey = o_orderkey",
+    "route_delays": f"{_HOPS} SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, b_hop AS from_hop, hop AS to_hop, CAST(sec - b_sec AS DOUBLE) AS seconds, sec < b_sec AS is_clock_skew, sec - b_sec > 3600 AS is_late FROM p WHERE b_sec IS NOT NULL",
+    "route_trust_boundary": f"{_HOPS}, t AS (SELECT l_orderkey, max(hop) FILTER (WHERE l_partkey % 3 = 0) AS hop, arg_max(ip, hop) FILTER (WHERE l_partkey % 3 = 0) AS ip, arg_max(ip, hop) AS first_ip FROM h GROUP BY 1) SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, coalesce(hop, -1) AS trusted_hop, CASE WHEN hop IS NULL THEN 'low' ELSE 'high' END AS boundary_confidence, coalesce(ip, first_ip) AS connecting_ip FROM orders LEFT JOIN t ON l_orderkey = o_orderkey",
     "route_internal_to_public": f"{_HOPS} SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, count(*) AS n_crossings FROM p WHERE b_class = 'private' AND ip_class = 'public' GROUP BY 1",
     "header_fields": f"{_HOPS}, {_MAIL.strip()}, r AS (SELECT l_orderkey, count(*) AS n FROM h GROUP BY 1) SELECT msg_id, coalesce(n, 0) + 6 + (k % 5 < 2)::INT + (k % 11 = 0)::INT + (k % 13 = 0)::INT + (k % 17 <> 0)::INT + k % 3 AS n_fields, coalesce(n, 0) AS n_received, CASE k % 3 WHEN 0 THEN '\"Customer, No. ' || cust || '\" <u' || cust || '@' || fd || '>' WHEN 1 THEN 'u' || cust || '@' || fd ELSE 'Customer ' || cust || ' <u' || cust || '@' || upper(fd) || '>' END AS from_value, 'v=1; d=' || d || '; s=s1; b=ab cd' AS signature FROM m LEFT JOIN r ON l_orderkey = k",
     "header_duplicates": f"{_M} SELECT msg_id, 'subject' AS name_lc, CAST(2 AS BIGINT) AS n FROM m WHERE k % 11 = 0",
@@ -116,7 +116,7 @@ SELECT raw || '.example' AS domain, arg_min(t, o) || '.example' AS matched, arg_
     "ioc_email": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\\w.+-])([a-zA-Z0-9._%+-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+)', 1)) AS e FROM documents) SELECT doc_id, lower(e) AS email, count(*) AS n FROM t GROUP BY ALL",
     "ioc_url": "WITH t AS (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, '(?i)(?:https?|hxxps?)://[^\\s<>\"''\\])]+')) AS u FROM pages) SELECT page_id, u AS url, count(*) AS n FROM t GROUP BY ALL",
     "ioc_defang": "SELECT page_id, 'hxxp' || substring(replace(url, '.', '[.]'), 5) AS defanged FROM pages",
-    "intel_topk": "WITH i AS (SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, list_extract(['url', 'email', 'domain'], l_linenumber % 3 + 1) AS kind, 'i' || l_partkey % 50 AS normalized, min(l_partkey % 50) AS at, bool_and(l_suppkey % 5 <> 0) AS ok FROM lineitem GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY msg_id, kind ORDER BY at) AS n FROM i WHERE ok) SELECT msg_id, kind, normalized FROM r WHERE n <= CASE kind WHEN 'email' THEN 2 ELSE 1 END",
+    "intel_topk": "WITH i AS (SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, list_extract(['url', 'email', 'domain'], l_linenumber % 3 + 1) AS kind, 'i' || l_partkey % 50 AS normalized, min(l_partkey % 50) AS place, bool_and(l_suppkey % 5 <> 0) AS ok FROM lineitem GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY msg_id, kind ORDER BY place) AS n FROM i WHERE ok) SELECT msg_id, kind, normalized FROM r WHERE n <= CASE kind WHEN 'email' THEN 2 ELSE 1 END",
     "intel_consensus": "SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, 'domain' AS kind, 'i' || l_partkey % 3 AS ioc, count(DISTINCT l_suppkey % 3) AS n_providers, string_agg(DISTINCT list_extract(['abuseipdb', 'emailrep', 'virustotal'], CAST(l_suppkey % 3 + 1 AS INT)), ',' ORDER BY list_extract(['abuseipdb', 'emailrep', 'virustotal'], CAST(l_suppkey % 3 + 1 AS INT))) AS providers FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N' GROUP BY 1, 2, 3",
     "spf_verify": """WITH c AS (SELECT o_orderkey AS msg_id, o_custkey % 40 AS n, o_orderkey % 3 AS i, o_orderkey % 256 AS x FROM orders),
 r AS (SELECT msg_id, CASE WHEN n % 10 = 4 AND n % 4 <> 3 THEN 'temperror' WHEN n % 4 = 3 THEN 'none' WHEN n % 4 = 0 THEN CASE WHEN i = 0 THEN 'pass' ELSE 'fail' END WHEN n % 4 = 1 THEN CASE WHEN i = 1 AND x >= 128 THEN 'pass' ELSE 'softfail' END ELSE CASE WHEN i = 0 THEN 'pass' ELSE 'neutral' END END AS result FROM c)

@@ -37,7 +37,7 @@ def route_transit(spark, sf):
 
 
 def route_hops(spark, sf):
-    return _hops(spark, sf).select("msg_id", F.col("hop_idx").cast("long").alias("hop_idx"), "from_host", "from_rdns", "by_host", "protocol", "queue_id", "for_recipient", "primary_ip", "primary_ip_class", F.unix_seconds("timestamp_utc").alias("at"), "original_offset")
+    return _hops(spark, sf).select("msg_id", F.col("hop_idx").cast("long").alias("hop_idx"), "from_host", "from_rdns", "by_host", "protocol", "queue_id", "for_recipient", "primary_ip", "primary_ip_class", F.unix_seconds("timestamp_utc").alias("unix_seconds"), "original_offset")
 
 
 def route_tls(spark, sf):
@@ -49,7 +49,7 @@ def route_delays(spark, sf):
 
 
 def route_trust_boundary(spark, sf):
-    return _routes(spark, sf).select("msg_id", F.col("trusted_hop").cast("long").alias("trusted_hop"), "boundary_confidence", "connecting_ip")
+    return _routes(spark, sf).select("msg_id", F.coalesce(F.col("trusted_hop").cast("long"), F.lit(-1)).alias("trusted_hop"), "boundary_confidence", "connecting_ip")
 
 
 def route_internal_to_public(spark, sf):
