@@ -236,7 +236,7 @@ def risk_score(spark, sf):
 
 
 def risk_verdict(spark, sf):
-    return _analysis(spark, sf).assessed.groupBy("verdict", "pattern", "confidence").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    return _analysis(spark, sf, OFFLINE).assessed.groupBy("verdict", "pattern", "confidence").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
 def fleet_findings(spark, sf):
@@ -250,7 +250,7 @@ def recommendations(spark, sf):
 
 
 def report_json(spark, sf):
-    return reports(_analysis(spark, sf))
+    return reports(_analysis(spark, sf, OFFLINE))
 
 
 def report_markdown(spark, sf):
