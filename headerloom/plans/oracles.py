@@ -126,8 +126,8 @@ SELECT msg_id, result, CASE result WHEN 'pass' THEN 'verified_pass' WHEN 'temper
     "dnsbl": f"{_HOPS}, s AS (SELECT DISTINCT ip, l_suppkey % 100 AS x, l_suppkey % 250 AS y FROM h WHERE ip_class = 'public'), k AS (SELECT DISTINCT s % 100 AS x, s % 250 AS y FROM range(100000) t(s) WHERE s % 4 = 1 AND s % 3 <> 0) SELECT ip, CASE WHEN y % 2 = 0 THEN 'zen.spamhaus.org' ELSE 'bl.spamcop.net' END AS zones FROM s JOIN k USING (x, y) WHERE y % 5 = 0",
     "rule_findings": f"{_RULES} SELECT msg_id, rule_id, CAST(w AS INT) AS weight, CASE s WHEN 3 THEN 'medium' ELSE 'low' END AS confidence FROM g",
     "risk_score": f"""{_RULES}, c AS (SELECT msg_id, category, least(sum(w), {_CAPS}) AS w FROM g GROUP BY msg_id, category), t AS (SELECT msg_id, least(100, sum(w)) AS score, count(*) AS cats FROM c GROUP BY 1),
-b AS (SELECT msg_id, bool_or(rule_id = 'BEC-001') AS bec FROM g GROUP BY 1)
-SELECT m.msg_id, CAST(coalesce(score, 0) AS INT) AS score, CASE WHEN coalesce(bec, false) THEN 'possible_bec' WHEN coalesce(score, 0) >= 50 THEN 'likely_phishing' WHEN coalesce(score, 0) >= 25 THEN 'suspicious' WHEN m.k % 17 = 0 THEN 'inconclusive' ELSE 'likely_legitimate' END AS verdict, CASE WHEN coalesce(cats, 0) >= 3 THEN 'medium' ELSE 'low' END AS confidence
-FROM m LEFT JOIN t USING (msg_id) LEFT JOIN b USING (msg_id)""",
+b AS (SELECT msg_id, bool_or(rule_id = 'BEC-001') AS bec, bool_or(s >= 2 AND rule_id NOT IN ('AUTH-005', 'RTE-002')) AS substantive FROM g GROUP BY 1)
+SELECT x.msg_id, CAST(coalesce(score, 0) AS INT) AS score, CASE WHEN x.k % 17 = 0 AND x.n = 0 AND NOT coalesce(substantive, false) THEN 'inconclusive' WHEN coalesce(bec, false) THEN 'possible_bec' WHEN coalesce(score, 0) >= 50 THEN 'likely_phishing' WHEN coalesce(score, 0) >= 25 THEN 'suspicious' WHEN x.k % 17 = 0 THEN 'inconclusive' ELSE 'likely_legitimate' END AS verdict, CASE WHEN coalesce(cats, 0) >= 3 THEN 'medium' ELSE 'low' END AS confidence
+FROM x LEFT JOIN t USING (msg_id) LEFT JOIN b USING (msg_id)""",
     "fleet_findings": f"{_RULES}, n AS (SELECT msg_id, category, list_extract(['informational', 'weak', 'moderate', 'strong'], s + 1) AS strength FROM g) SELECT category, strength, count(*) AS n, count(DISTINCT msg_id) AS n_messages FROM n GROUP BY CUBE (category, strength)",
 }
