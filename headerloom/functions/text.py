@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 GROUP = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
 #: Stands for a group that was taken out.
 MARK = "\u0001"
+#: What Unicode counts as white space.
+SPACES = "\t\n\u000b\u000c\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def one_line(c: Column) -> Column:
     """Runs of spaces, tabs and line ends as one space, without any at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t\r\n]+", " "), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.regexp_replace(c, r"[ \t\r\n]+", " "), F.lit(SPACES))
 
 
 def groups(c: Column) -> Column:

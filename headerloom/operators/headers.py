@@ -21,7 +21,7 @@ from headerloom.sources.messages import with_newlines
 #: Fields that a message has once at most.
 SINGLETONS = ("date", "from", "sender", "reply-to", "to", "cc", "bcc", "message-id", "subject", "in-reply-to", "references")
 UNPARSABLE = "(unparsable)"
-_FIELD = r"(?s)^([\x21-\x39\x3b-\x7e]+)[ \t]*:(.*)$"
+_FIELD = r"^[\x21-\x39\x3b-\x7e]+[ \t]*:"
 
 
 def _decoded(value: str | None) -> tuple[str | None, str | None]:
@@ -58,13 +58,15 @@ def parse_fields(messages: DataFrame) -> DataFrame:
     UNPARSABLE; mbox separators and blank lines become none.
     """
     blocks = F.split(with_newlines(F.coalesce("raw_header", F.lit(""))), r"\n(?![ \t])")
+    is_field = lambda b: b.rlike(_FIELD) & ~F.startswith(b, F.lit("From "))
     # A block that isn't a field falls apart into its lines: what follows it continues nothing.
-    parts = F.flatten(F.transform(blocks, lambda b, i: F.when(b.rlike(_FIELD) & ~b.rlike("^From "), F.array(b)).otherwise(F.split(b, "\n"))))
-    lines = messages.select("msg_id", F.posexplode(F.filter(parts, lambda b: ~b.rlike(r"^[ \t]*$") & ~b.rlike("^From "))).alias("ord", "block"))
-    is_field = F.col("block").rlike(_FIELD)
-    raw = F.when(is_field, F.regexp_extract("block", _FIELD, 2)).otherwise(F.col("block"))
-    name = F.when(is_field, F.regexp_extract("block", _FIELD, 1)).otherwise(F.lit(UNPARSABLE))
-    kind = F.when(is_field, "field").when(F.col("block").rlike(r"^[ \t]"), "orphan").otherwise("no_colon")
+    parts = F.flatten(F.transform(blocks, lambda b: F.when(is_field(b), F.array(b)).otherwise(F.split(b, "\n"))))
+    lines = messages.select("msg_id", F.posexplode(F.filter(parts, lambda b: (F.trim(F.translate(b, "\t", "")) != "") & ~F.startswith(b, F.lit("From ")))).alias("ord", "block"))
+    lines = lines.withColumn("colon", F.when(is_field(F.col("block")), F.instr("block", ":")))
+    # A name holds no colon: the first one ends it.
+    raw = F.when(F.col("colon").isNotNull(), F.substr("block", F.col("colon") + 1)).otherwise(F.col("block"))
+    name = F.when(F.col("colon").isNotNull(), F.rtrim(F.translate(F.substring_index("block", ":", 1), "\t", " "))).otherwise(F.lit(UNPARSABLE))
+    kind = F.when(F.col("colon").isNotNull(), "field").when(F.col("block").rlike(r"^[ \t]"), "orphan").otherwise("no_colon")
     rows = lines.select("msg_id", "ord", name.alias("name"), raw.alias("raw_value"), kind.alias("kind"))
     return rows.select("msg_id", "ord", "name", F.lower("name").alias("name_lc"), "raw_value", one_line(F.col("raw_value")).alias("normalized_value"), "kind")
 

@@ -18,11 +18,6 @@ CLAUSES = ("from", "by", "with", "via", "id", "for")
 LATE_SECONDS = 3600
 
 
-def _clause(text: Column, word: str) -> Column:
-    """What stands from a keyword up to the next one, outside groups; the first time it comes."""
-    return found(text, rf"(?i)(?:^|\s){word}\s+(.*?)(?=\s+(?:{'|'.join(CLAUSES)})(?:\s|$)|$)")
-
-
 def parse_timestamp(text: Column) -> tuple[Column, Column]:
     """(UTC time, offset as written) of a date; a date without a zone counts as UTC and has no offset."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, GROUP, " "), r"^\s*[A-Za-z]{3,9},", ""), r"\s+", " "))
@@ -37,16 +32,21 @@ def parse_timestamp(text: Column) -> tuple[Column, Column]:
 
 def parse_received(fields: DataFrame) -> DataFrame:
     """One row for each Received field: (msg_id, hop_idx from the newest, from_host, from_rdns, by_host, protocol, tls_info, queue_id, for_recipient, ip_addresses, primary_ip, timestamp_utc, original_offset, used_tls)."""
-    received = fields.where(F.col("name_lc") == "received")
-    at = F.row_number().over(Window.partitionBy("msg_id").orderBy("ord")) - 1
-    rows = received.select("msg_id", at.alias("hop_idx"), F.col("normalized_value").alias("raw"))
+    # Texts are taken apart where the fields are read; the window that numbers hops comes last and moves only what was found.
+    rows = fields.where(F.col("name_lc") == "received").select("msg_id", "ord", F.col("normalized_value").alias("raw"))
     # Without its groups, the last semicolon divides clauses and date; the n-th mark is the n-th group.
     rows = rows.withColumns({"groups": groups(F.col("raw")), "flat": marked(F.col("raw"))})
-    date = found(F.col("flat"), r";([^;]*)$")
-    main = F.when(date.isNotNull(), F.regexp_replace("flat", r";[^;]*$", "")).otherwise(F.col("flat"))
-    rows = rows.withColumns({"date": date, "main": main}).withColumns({f"c_{w}": _clause(F.col("main"), w) for w in CLAUSES})
+    dated = F.contains("flat", F.lit(";"))
+    date = F.when(dated, F.nullif(F.substring_index("flat", ";", -1), F.lit("")))
+    main = F.when(dated, F.left("flat", F.length("flat") - F.length(F.substring_index("flat", ";", -1)) - 1)).otherwise(F.col("flat"))
+    # Cut before each keyword; the first piece that begins with it is its clause.
+    rows = rows.withColumns({"date": date, "pieces": F.split(main, rf"(?i)\s+(?=(?:{'|'.join(CLAUSES)})(?:\s|$))")})
+    rows = rows.withColumn("words", F.transform("pieces", lambda p: F.lower(F.substring_index(p, " ", 1))))
+    rows = rows.withColumns({f"p_{w}": F.array_position("words", w).cast("int") for w in CLAUSES if w != "via"})
+    rows = rows.withColumns({f"c_{w}": F.nullif(F.substr(F.get("pieces", F.col(f"p_{w}") - 1), F.lit(len(w) + 2)), F.lit("")) for w in CLAUSES if w != "via"})
     host = lambda c: found(F.regexp_replace(c, MARK, " "), r"(?:^|\s)((?!\d+\.?(?:\s|$))[A-Za-z0-9_](?:[A-Za-z0-9_.-]*[A-Za-z0-9_])?)\.?(?=[\s;,]|$)")
-    before = lambda word: F.length(F.regexp_replace(F.regexp_extract("main", rf"(?i)^(.*?)(?:^|\s){word}\s", 1), f"[^{MARK}]", ""))
+    marks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(MARK), F.lit("")))
+    before = lambda word: marks(F.array_join(F.slice("pieces", F.lit(1), F.col(f"p_{word}") - 1), " "))
     group_of = lambda word: F.when(F.contains(F.col(f"c_{word}"), F.lit(MARK)), F.try_element_at("groups", before(word) + 1))
     rows = rows.withColumns({"from_group": group_of("from"), "with_group": group_of("with")})
     inside = F.regexp_replace(F.regexp_replace("from_group", r"^\(|\)$", ""), r"\[[^\]]*\]|(?i)helo=\S+", " ")
@@ -54,7 +54,7 @@ def parse_received(fields: DataFrame) -> DataFrame:
     stamp, offset = parse_timestamp(F.col("date"))
     rows = rows.select(
         "msg_id",
-        "hop_idx",
+        "ord",
         "raw",
         host(F.split_part(F.col("c_from"), F.lit(MARK), F.lit(1))).alias("from_host"),
         host(inside).alias("from_rdns"),
@@ -71,7 +71,8 @@ def parse_received(fields: DataFrame) -> DataFrame:
     rows = rows.withColumn("primary_ip", F.coalesce(F.get("from_ips", F.lit(0)), F.get("ip_addresses", F.lit(0)))).drop("from_ips")
     protocol = F.upper("protocol")
     tls = F.when(protocol.isin("ESMTPS", "ESMTPSA", "UTF8SMTPS", "UTF8SMTPSA") | F.col("tls_info").isNotNull(), True).when(protocol.isin("SMTP", "ESMTP", "ESMTPA"), False)
-    return rows.withColumns({"used_tls": tls, "primary_ip_class": F.when(F.col("primary_ip").isNotNull(), classify_ip(F.col("primary_ip")))})
+    rows = rows.withColumns({"used_tls": tls, "primary_ip_class": F.when(F.col("primary_ip").isNotNull(), classify_ip(F.col("primary_ip")))})
+    return rows.withColumn("hop_idx", F.row_number().over(Window.partitionBy("msg_id").orderBy("ord")) - 1).drop("ord")
 
 
 def hop_delays(hops: DataFrame) -> DataFrame:
