@@ -48,7 +48,9 @@ def parse_received(fields: DataFrame) -> DataFrame:
     marks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(MARK), F.lit("")))
     before = lambda word: marks(F.array_join(F.slice("pieces", F.lit(1), F.col(f"p_{word}") - 1), " "))
     group_of = lambda word: F.when(F.contains(F.col(f"c_{word}"), F.lit(MARK)), F.try_element_at("groups", before(word) + 1))
-    rows = rows.withColumns({"from_group": group_of("from"), "with_group": group_of("with")})
+    parts = F.struct("date", *[f"c_{w}" for w in CLAUSES if w != "via"], group_of("from").alias("from_group"), group_of("with").alias("with_group"))
+    # Through a generator, filters on what follows can't repeat the work above.
+    rows = rows.select("msg_id", "ord", "raw", F.inline(F.array(parts)))
     inside = F.regexp_replace(F.regexp_replace("from_group", r"^\(|\)$", ""), r"\[[^\]]*\]|(?i)helo=\S+", " ")
     main_text = F.concat_ws(" ", F.col("c_from"), F.col("from_group"))
     stamp, offset = parse_timestamp(F.col("date"))
