@@ -55,3 +55,12 @@ def test_pipeline_finds_near_copies_from_four_fifths_on(spark, small):
     expected = set(brute_groups(texts))
     assert sum(i % 2 for i in expected if i < 400) == 67  # those at 0.791
     assert kept == expected
+
+
+def test_pipeline_keeps_texts_of_other_groups_with_the_same_id(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (7, words("c")), (7, words("d")), (3, words("c")), (None, words("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted([(None, words("a")), (None, words("b")), (3, words("c")), (7, words("d"))], key=str)
+    for order in (docs, docs.orderBy(F.desc("text")), docs.repartition(3)):
+        assert sorted((tuple(r) for r in resemblance.keep_one(order).collect()), key=str) == expected
