@@ -56,8 +56,8 @@ SENTENCES = {
     "spdx license identifier gpl 3 0 only": "GPL3-REF",
     "spdx license identifier gpl 3 0 or later": "GPL3-REF",
 }
-#: Each known sentence contains one of these.
-KEYWORDS = ("licens", "copyright", "rights reserved", "warranty", "permission is hereby", "redistribution")
+#: A word of each known sentence contains one of these; no line end can split them.
+KEYWORDS = ("licens", "copyright", "reserved", "warranty", "hereby", "redistribution")
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ def with_sentence_ids(docs: DataFrame, id_col: str, text_col: str, sentences: di
 
     Each step is a projection of its own, so that no text is cut up twice.
     """
-    loose = [s for s in sentences if not any(k in s for k in KEYWORDS)]
+    loose = [s for s in sentences if not any(k in w for w in s.split() for k in KEYWORDS)]
     if loose:
         raise ValueError(f"without a keyword: {loose}")
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])

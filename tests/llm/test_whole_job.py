@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from headerloom.llm import resemblance
+from headerloom.llm import licenses, resemblance
 
 
 def brute_groups(texts):
@@ -64,3 +64,16 @@ def test_pipeline_keeps_texts_of_other_groups_with_the_same_id(spark):
     expected = sorted([(None, words("a")), (None, words("b")), (3, words("c")), (7, words("d"))], key=str)
     for order in (docs, docs.orderBy(F.desc("text")), docs.repartition(3)):
         assert sorted((tuple(r) for r in resemblance.keep_one(order).collect()), key=str) == expected
+
+
+def test_op2_finds_each_known_sentence_wrapped_at_any_word(spark):
+    rows, expected = [], []
+    for sentence, name in licenses.SENTENCES.items():
+        words = sentence.split()
+        for i in range(1, len(words)):
+            rows.append((len(rows), "Intro.\n" + " ".join(words[:i]).capitalize() + "\n" + " ".join(words[i:]) + ".\nMore"))
+            expected.append(f"<{name}>")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.sentence_ids for r in licenses.licences(docs).collect()}
+    missing = [rows[i][1] for i, name in enumerate(expected) if name not in got[i]]
+    assert not missing
