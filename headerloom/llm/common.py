@@ -41,6 +41,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks over which the rows of one join key are dealt.
+WAYS = 16
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: Column, how: str = "inner", ways: int = WAYS) -> DataFrame:
+    """``many`` joined with ``few`` on ``keys``; the rows of one key are dealt over ``ways`` tasks by a hash of ``by``, to each of which ``few`` is copied.
+
+    A key that holds a third of all rows of ``many`` is so no task of its own. ``few`` has to be the smaller side,
+    with few rows for a key.
+    """
+    dealt = many.withColumn("__way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    copied = few.withColumn("__way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return dealt.join(copied, [*keys, "__way"], how).drop("__way")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -14,7 +14,9 @@ between different components is lost.
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any
 other; fewer words than a shingle hash as one; repeated rows each keep their
-row; an empty table gives an empty result; extra columns are ignored.
+row; rows without an id are rows like others, and a component of them alone has
+a null component_id; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headerloom.llm.common import hex_digits, staged, text_or_empty
+from headerloom.llm.common import hex_digits, spread_join, staged, text_or_empty
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
@@ -89,49 +91,68 @@ def components(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, root) of each point: the least point of its component.
 
     Least-label propagation with pointer jumping; every round is written to the
-    shared folder, so neither the plan nor the lineage grows.
+    shared folder, so neither the plan nor the lineage grows. The hub of a star
+    of edges and the root of a large component are join keys of many rows: these
+    are dealt over several tasks. Only labels that differ from their point are
+    passed on, as the first labels already know every neighbour.
     """
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     # Only points with an edge can move.
     labels = staged(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
-        moved = labels.join(near, "fp", "left").select("fp", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        ahead = moved.select(F.col("fp").alias("root"), F.col("root").alias("ahead"))
-        jumped = staged(moved.join(ahead, "root", "left").select("fp", "was", F.least("root", "ahead").alias("root")), "labels")
+        moving = labels.where("root <> fp")
+        near = spread_join(both, moving.withColumnRenamed("fp", "b"), ["b"], F.col("a")).groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
+        moved = staged(labels.join(near, "fp", "left").select("fp", F.col("root").alias("was"), F.least("root", "near").alias("root")), "moved")
+        ahead = moved.where("root <> fp").select(F.col("fp").alias("root"), F.col("root").alias("ahead"))
+        jumped = staged(spread_join(moved, ahead, ["root"], F.col("fp"), "left").select("fp", "was", F.coalesce("ahead", "root").alias("root")), "labels")
         labels = jumped.select("fp", "root")
         if jumped.where("root <> was").isEmpty():
             break
     return points.join(labels, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` (key, fp) whose key another point has too, with the key's pivot: its least point."""
+    shared = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
+    return staged(spread_join(keyed, shared, ["key"], F.col("fp")), "keyed")
+
+
+def meetings(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): pairs of points of one key that no link connects yet, without pairs with the pivot.
+
+    Points of the pivot's component are settled among themselves; each other
+    point of a key meets all points of the key that lie in another component.
+    """
+    pivot_roots = roots.select(F.col("fp").alias("pivot"), F.col("root").alias("pivot_root"))
+    placed = staged(spread_join(keyed.join(roots, "fp"), pivot_roots, ["pivot"], F.col("fp")), "placed")
+    others = placed.where("root <> pivot_root").select("key", F.col("fp").alias("a"), F.col("root").alias("root_a"))
+    meets = placed.where("fp <> pivot").select("key", F.col("fp").alias("b"), F.col("root").alias("root_b"), (F.col("root") != F.col("pivot_root")).alias("other"))
+    met = spread_join(meets, others, ["key"], F.col("b")).where(F.col("root_a") != F.col("root_b"))
+    return met.where((F.col("a") < F.col("b")) | ~F.col("other")).select("a", "b")
+
+
 def near_pairs(points: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that connect what links of at most ``max_distance`` bits connect."""
     blocks = blocks or block_count(points.count(), max_distance)
     masks = _block_masks(blocks, max_distance)
-    keyed = points.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "key"))
-    shared = keyed.groupBy("part", "key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("part", "key", "pivot")
-    keyed = staged(keyed.join(shared, ["part", "key"]), "keyed")
-    first = staged(keyed.where(F.col("fp") != F.col("pivot")).where(_close("fp", "pivot", max_distance)).select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "pivots")
-    roots = components(points, first)
-    pivot_roots = roots.select(F.col("fp").alias("pivot"), F.col("root").alias("pivot_root"))
-    placed = staged(keyed.join(roots, "fp").join(pivot_roots, "pivot"), "placed")
-    # Copies, near copies and the pivot are settled; others meet all points of their key that lie in another component.
-    others = placed.where("root <> pivot_root").select("part", "key", F.col("fp").alias("a"), F.col("root").alias("root_a"))
-    meets = placed.select("part", "key", F.col("fp").alias("b"), F.col("root").alias("root_b"), (F.col("root") != F.col("pivot_root")).alias("other"))
-    second = others.join(meets, ["part", "key"]).where(F.col("root_a") != F.col("root_b")).where((F.col("a") < F.col("b")) | ~F.col("other")).where(_close("a", "b", max_distance))
-    return first.union(second.select("a", "b").distinct())
+    parts = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
+    keyed = shared_keys(points.select("fp", F.explode(parts).alias("key")))
+    pivots = keyed.where(F.col("fp") != F.col("pivot")).where(_close("fp", "pivot", max_distance))
+    first = staged(pivots.select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "pivots")
+    second = meetings(keyed, components(points, first)).where(_close("a", "b", max_distance))
+    return first.union(second.distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(id, fp, component_id) of each row; component_id is the least id of the component."""
-    prints = staged(fingerprints(docs, id_col, text_col, words), "prints")
-    points = staged(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "points")
-    roots = components(points.select("fp"), near_pairs(points.select("fp"), max_distance))
-    named = points.join(roots, "fp")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(id_col, "fp", "component_id")
+    """(id, fp, component_id) of each row; component_id is the least id of the component, null if none of its rows has an id."""
+    prints = staged(fingerprints(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()), "prints")
+    points = staged(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "points")
+    named = points.join(components(points.select("fp"), near_pairs(points.select("fp"), max_distance)), "fp")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    classes = spread_join(named.select("fp", "root"), least, ["root"], F.col("fp")).select("fp", "component_id", F.lit(True).alias("shared"))
+    # A row that is alone in its component needs no class.
+    met = spread_join(prints, classes, ["fp"], F.col("row"), "left")
+    return met.select(id_col, "fp", F.when(F.col("shared"), F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
