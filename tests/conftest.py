@@ -37,3 +37,8 @@ def tiny():
 @pytest.fixture(scope="session")
 def small():
     return "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def large():
+    return "/root/testdata/sf0.1"
