@@ -1,15 +1,16 @@
 """Licence scans by sentence and rule recognition (operator 2).
 
-Texts are cut into sentences; a sentence's words, in lower case and single
-spaces, are looked up among known licence sentences, and each document's
-sequence of sentence identifiers is matched against ordered licence rules. A
-rule matches its identifiers in a row; what a rule has matched is taken out
-before the next one. A sentence that is wrapped over up to ``MOST_LINES``
-lines is put together again.
-
-DataFrame functions only; nothing is shuffled but the tables' rows themselves
-stay where they are: a document is one row throughout. Only documents with one
-of the words that every known sentence contains are cut up.
+Texts are cut at line ends and sentence ends; pieces in lower case and single
+spaces, alone or joined with those that follow, are looked up among known licence
+sentences, and each document's sequence of sentence identifiers is matched
+against ordered licence rules. A rule matches its identifiers in a row; what a
+rule has matched is taken out before the next one. Pieces are joined up to the
+words of the longest known sentence, so it doesn't matter over how many lines a
+sentence is wrapped; a sentence inside a longer known one doesn't count.
+
+DataFrame functions only; nothing is shuffled: a document is one row throughout.
+Only documents with one of the words that every known sentence contains are cut
+up.
 
 Edge cases: a null or empty text has no licence; repeated rows each keep their
 row; an empty table gives an empty result; columns besides the id and the text
@@ -18,7 +19,6 @@ are ignored; known sentences that no rule explains are counted as unexplained.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -26,73 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headerloom.llm.common import ascii_lower
+from headerloom.llm.licence_texts import KEYWORDS, KINDS, RULES, SENTENCES, Rule
 
-MOST_LINES = 6
-
-#: Known sentences, normalised, with their identifiers.
-SENTENCES = {
-    "released under the mit license": "MIT-REF",
-    "licensed under the mit license": "MIT-REF",
-    "this project is licensed under the mit license": "MIT-REF",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "MIT-GRANT",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT-KEEP",
-    "the software is provided as is without warranty of any kind": "AS-IS",
-    "licensed under the apache license version 2 0": "APACHE2-REF",
-    "you may not use this file except in compliance with the license": "APACHE2-FILE",
-    "you may obtain a copy of the license at": "APACHE2-COPY",
-    "this work is licensed under the gnu general public license version 3": "GPL3-REF",
-    "this work is licensed under the gnu general public license version 2": "GPL2-REF",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "GPL-GRANT",
-    "this program is distributed in the hope that it will be useful but without any warranty": "GPL-WARRANTY",
-    "licensed under cc by 4 0": "CCBY4-REF",
-    "licensed under cc by sa 4 0": "CCBYSA4-REF",
-    "licensed under cc by nc 4 0": "CCBYNC4-REF",
-    "this work is licensed under a creative commons attribution 4 0 international license": "CCBY4-REF",
-    "redistribution and use in source and binary forms with or without modification are permitted": "BSD-GRANT",
-    "redistributions of source code must retain the above copyright notice": "BSD-KEEP",
-    "all rights reserved": "ALL-RIGHTS",
-    "spdx license identifier mit": "MIT-REF",
-    "spdx license identifier apache 2 0": "APACHE2-REF",
-    "spdx license identifier gpl 3 0 only": "GPL3-REF",
-    "spdx license identifier gpl 3 0 or later": "GPL3-REF",
-}
-#: A word of each known sentence contains one of these; no line end can split them.
-KEYWORDS = ("licens", "copyright", "reserved", "warranty", "hereby", "redistribution")
-
-
-@dataclass(frozen=True)
-class Rule:
-    """A licence, its kind, and the sentence identifiers in a row that show it."""
-
-    licence: str
-    kind: str
-    sentences: tuple[str, ...]
-
-
-#: In order: a longer rule comes before its parts.
-RULES = (
-    Rule("MIT", "permissive", ("MIT-GRANT", "MIT-KEEP", "AS-IS")),
-    Rule("MIT", "permissive", ("MIT-GRANT", "MIT-KEEP")),
-    Rule("MIT", "permissive", ("MIT-GRANT",)),
-    Rule("MIT", "permissive", ("MIT-REF",)),
-    Rule("Apache-2.0", "permissive", ("APACHE2-REF", "APACHE2-FILE", "APACHE2-COPY")),
-    Rule("Apache-2.0", "permissive", ("APACHE2-REF", "APACHE2-FILE")),
-    Rule("Apache-2.0", "permissive", ("APACHE2-REF",)),
-    Rule("BSD", "permissive", ("BSD-GRANT", "BSD-KEEP")),
-    Rule("BSD", "permissive", ("BSD-GRANT",)),
-    Rule("GPL-3.0", "copyleft", ("GPL3-REF",)),
-    Rule("GPL-2.0", "copyleft", ("GPL2-REF",)),
-    Rule("GPL", "copyleft", ("GPL-GRANT", "GPL-WARRANTY")),
-    Rule("GPL", "copyleft", ("GPL-GRANT",)),
-    Rule("CC-BY-4.0", "permissive", ("CCBY4-REF",)),
-    Rule("CC-BY-SA-4.0", "copyleft", ("CCBYSA4-REF",)),
-    Rule("CC-BY-NC-4.0", "noncommercial", ("CCBYNC4-REF",)),
-    Rule("Proprietary", "proprietary", ("ALL-RIGHTS",)),
-)
-#: The strictest kind comes first.
-KINDS = ("proprietary", "noncommercial", "copyleft", "permissive")
-
-_BREAK = r"[.!?]+\s+|[\r\n]+"
+#: A run of marks is left at once if no space follows, however long it is.
+_BREAK = r"(?<![.!?])[.!?]++\s+|[\r\n]+"
 
 
 def normalised(piece: Column) -> Column:
@@ -108,30 +45,30 @@ def with_sentence_ids(docs: DataFrame, id_col: str, text_col: str, sentences: di
     if loose:
         raise ValueError(f"without a keyword: {loose}")
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    begins = F.array(*[F.lit(s) for s in sentences])
+    begins = F.array(*[F.lit(f"{s} ") for s in sentences])
     lower = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(id_col, "text", F.lower("text").alias("low"))
     marked = reduce(or_, [F.contains(F.col("low"), F.lit(k)) for k in KEYWORDS])
     raw = lower.select(id_col, F.when(marked, F.split("text", _BREAK)).otherwise(F.array().cast("array<string>")).alias("raw"))
     pieces = raw.select(id_col, F.filter(F.transform("raw", normalised), lambda p: p != "").alias("p"))
-    # A piece that begins no known sentence can't be the first line of one.
-    starts = pieces.select(id_col, "p", F.filter(F.transform("p", lambda p, i: F.when(F.exists(begins, lambda s: F.startswith(s, p)), i)), lambda i: i.isNotNull()).alias("at"))
-    lengths = F.array(*[F.lit(k) for k in range(1, MOST_LINES + 1)])
-    runs = F.transform("at", lambda i: F.filter(F.transform(lengths, lambda k: F.when(i + k <= F.size("p"), F.try_element_at(known, F.array_join(F.slice("p", i + 1, k), " ")))), lambda x: x.isNotNull()))
-    return starts.select(id_col, F.flatten(runs).alias("ids"))
+    # A piece that begins no known sentence can't be the first line of one; few are left.
+    starts = pieces.select(id_col, "p", F.filter(F.transform("p", lambda p, i: F.when(F.exists(begins, lambda s: F.startswith(s, F.concat(p, F.lit(" ")))), i)), lambda i: i.isNotNull()).alias("at"))
+    # A piece has a word at least: more pieces than the longest sentence has words can't be one.
+    lengths = F.sequence(F.lit(1), F.lit(max(len(s.split()) for s in sentences)))
+    run = lambda i: lambda k: F.when(i + k <= F.size("p"), F.struct(i.alias("i"), (i + k).alias("end"), F.try_element_at(known, F.array_join(F.slice("p", i + 1, k), " ")).alias("id")))
+    runs = starts.select(id_col, F.flatten(F.transform("at", lambda i: F.filter(F.transform(lengths, run(i)), lambda x: x["id"].isNotNull()))).alias("runs"))
+    inside = lambda x: F.exists("runs", lambda y: (y["i"] <= x["i"]) & (y["end"] >= x["end"]) & (y["end"] - y["i"] > x["end"] - x["i"]))
+    return runs.select(id_col, F.transform(F.filter("runs", lambda x: ~inside(x)), lambda x: x["id"]).alias("ids"))
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``id_col``, sentence_ids (in order), licenses (sorted), kind (the strictest) and n_unexplained of each row."""
     named = with_sentence_ids(docs, id_col, text_col, sentences)
     found = named.select(id_col, F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("sentence_ids"))
-    left, hits = F.col("sentence_ids"), []
-    for rule in rules:
-        mark = "".join(f"<{s}>" for s in rule.sentences)
-        hits.append(F.when(F.contains(left, F.lit(mark)), F.struct(F.lit(rule.licence).alias("licence"), F.lit(rule.kind).alias("kind"))))
-        left = F.replace(left, F.lit(mark), F.lit("|"))
+    ordered = F.array(*[F.struct(F.lit("".join(f"<{s}>" for s in r.sentences)).alias("mark"), F.lit(r.licence).alias("licence"), F.lit(r.kind).alias("kind")) for r in rules])
+    none = F.struct(F.col("sentence_ids").alias("left"), F.array().cast("array<struct<licence:string,kind:string>>").alias("met"))
+    step = lambda acc, r: F.when(F.contains(acc["left"], r["mark"]), F.struct(F.replace(acc["left"], r["mark"], F.lit("|")).alias("left"), F.array_append(acc["met"], F.struct(r["licence"].alias("licence"), r["kind"].alias("kind"))).alias("met"))).otherwise(acc)
     # Only short strings of identifiers are matched here, and mostly empty ones.
-    none = F.array().cast("array<struct<licence:string,kind:string>>")
-    met = found.select(id_col, "sentence_ids", F.when(F.col("sentence_ids") == "", none).otherwise(F.array_compact(F.array(*hits))).alias("met"), F.when(F.col("sentence_ids") == "", F.lit("")).otherwise(left).alias("left"))
+    met = found.select(id_col, "sentence_ids", F.when(F.col("sentence_ids") == "", none).otherwise(F.aggregate(ordered, none, step)).alias("m")).select(id_col, "sentence_ids", "m.met", "m.left")
     kinds = F.transform("met", lambda r: r["kind"])
     kind = F.coalesce(*[F.when(F.array_contains(kinds, k), F.lit(k)) for k in KINDS], F.lit("none"))
     return met.select(
@@ -163,8 +100,11 @@ def oracle() -> str:
 WITH known(sentence, id) AS (VALUES {known}),
 rows AS (SELECT row_number() OVER () AS n, doc_id, string_split_regex(coalesce(text, ''), '[.!?]+\\s+|[\\r\\n]+') AS raw FROM documents),
 pieces AS (SELECT n, doc_id, list_filter(list_transform(raw, lambda p: trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))), lambda p: p <> '') AS p FROM rows),
-runs AS (SELECT n, i, k, array_to_string(list_slice(p, i, i + k - 1), ' ') AS sentence FROM pieces, unnest(range(1, len(p) + 1)) AS a(i), unnest(range(1, {MOST_LINES} + 1)) AS b(k) WHERE i + k - 1 <= len(p)),
-ids AS (SELECT n, string_agg('<' || id || '>', '' ORDER BY i, k) AS ids FROM runs JOIN known USING (sentence) GROUP BY n),
+places AS MATERIALIZED (SELECT n, p, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM pieces),
+begun AS MATERIALIZED (SELECT n, p, i, sentence, id FROM places JOIN known ON starts_with(sentence || ' ', piece || ' ')),
+tried AS MATERIALIZED (SELECT *, unnest(range(1, len(string_split(sentence, ' ')) + 1)) AS k FROM begun),
+runs AS (SELECT n, i, i + k AS e, id FROM tried WHERE i + k - 1 <= len(p) AND array_to_string(list_slice(p, i, i + k - 1), ' ') = sentence),
+ids AS (SELECT n, string_agg('<' || id || '>', '' ORDER BY i) AS ids FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.n = r.n AND o.i <= r.i AND o.e >= r.e AND o.e - o.i > r.e - r.i) GROUP BY n),
 s0 AS (SELECT rows.n, rows.doc_id, coalesce(ids, '') AS sentence_ids, coalesce(ids, '') AS rest, [{{'licence': '', 'kind': ''}}][2:] AS met FROM rows LEFT JOIN ids USING (n)),
 {", ".join(steps)}
 SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(list_transform(met, lambda x: x.licence))), ',') AS licenses,
