@@ -1,17 +1,21 @@
 """Toxicity by a weighted lexicon (operator 9).
 
 Texts are folded (lower case, look-alike letters of other scripts to Latin,
-digits and signs inside words to the letters they stand for), other characters
-become spaces, and an Aho-Corasick automaton finds the lexicon's words and word
-beginnings at word boundaries. Phrases that excuse a word are found by the same
-automaton and cancel the matches inside them. The weights of a text's matches,
-alone and in proportion to its length, go through a logistic curve.
-
-The lexicon is learned: from labelled rows, terms (whole words and word
-beginnings of ``PREFIXES`` letters) are counted once per different text and
-label; those that toxic texts hold significantly more often are kept with
-their log odds. Training takes about ``SAMPLE_PER_LABEL`` rows of each label
-at most, chosen by hash: half for the lexicon, half for the curve.
+digits and signs that touch a letter to the letters they stand for, l to i, as 1
+stands for both), other characters become spaces, and an Aho-Corasick automaton
+finds the lexicon's words and word beginnings at word boundaries. Phrases that
+excuse a word are found by the same automaton and cancel the matches inside
+them. The weights of a text's matches, alone and in proportion to its length, go
+through a logistic curve.
+
+Lexicon and exceptions are learned: from labelled rows, terms (whole words and
+word beginnings of ``PREFIXES`` letters) are counted once per different text and
+label; those that toxic texts hold significantly more often are kept with their
+log odds. An exception is a word of the lexicon with a neighbour, which
+``LEAST_EXCUSED`` clean texts hold and clean texts hold more often than toxic
+ones. Training takes about ``SAMPLE_PER_LABEL`` rows of each label at most,
+chosen by hash. The curve is fitted on what each half's texts score under the
+lexicon of the other half; the lexicon is then that of both.
 
 Edge cases: a null or empty text has no matches and the score of a text
 without any; without labels of both kinds all scores are 0; repeated rows each
@@ -37,10 +41,11 @@ from pyspark.sql import functions as F
 from headerloom.llm.common import staged, text_or_empty
 
 SAMPLE_PER_LABEL = 10_000
-LEXICON_SIZE = 4000
 PREFIXES = (4, 5, 6, 7)
 #: Least texts with a term, and least log-likelihood ratio of its excess among toxic ones.
-LEAST_TEXTS, LEAST_RATIO, LEAST_ODDS = 5, 20.0, 1.5
+LEAST_TEXTS, LEAST_RATIO, LEAST_ODDS = 3, 12.0, 1.5
+#: Least clean texts with a phrase that excuses a word.
+LEAST_EXCUSED = 5
 REJECT_AT = 0.7
 
 #: Letters of other scripts that look like Latin ones.
@@ -48,14 +53,23 @@ LOOK_ALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "в": "b", "к": "k", "м": "m", "н": "h", "т": "t",
     "α": "a", "ο": "o", "ρ": "p", "υ": "u", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "ε": "e",
 }
-#: Digits and signs written for letters; where two letters are given, both readings count.
-STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
-#: Phrases in which a word of the lexicon is harmless.
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "trash collection", "pond scum", "idiot proof", "class clown", "sore loser", "worthless currency", "disgusting taste")
+#: Digits and signs written for letters; l is read as i, so that 1 and | have one reading.
+STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
 
-_SIGNS = re.compile(r"(?<=[^\W\d_])[0134578@$!|9]+(?=[^\W\d_])")
-_DISGUISED = re.compile(r"[\w@$!|]*[^\W\d_][0134578@$!|9]+[^\W\d_][\w@$!|]*")
+_LETTER, _STANDING = r"[^\W\d_]", r"[0134578@$!|9]"
+#: Runs that touch a letter; each place is looked at once, however long a run is.
+_SIGNS = re.compile(rf"(?<={_LETTER}){_STANDING}++|(?<!{_STANDING}){_STANDING}++(?={_LETTER})")
+_MARKS = re.compile(r"[!|]+$")
 _SPELLED = re.compile(r"(?<!\w)(?:\w[.\-*_]){3,}\w(?!\w)")
+_READ = str.maketrans(STANDS_FOR)
+
+
+def _read(m: re.Match) -> str:
+    """The letters of a run; marks at the end of a word end it."""
+    run = m[0]
+    if m.end() == len(m.string) or not m.string[m.end()].isalpha():
+        run = _MARKS.sub(" ", run)
+    return run.translate(_READ)
 
 
 class _Folding(dict):
@@ -63,20 +77,13 @@ class _Folding(dict):
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        self[code] = out = LOOK_ALIKES.get(c) or (c if c.isalpha() else " ")
+        out = LOOK_ALIKES.get(c) or (c if c.isalpha() else " ")
+        self[code] = out = "i" if out == "l" else out
         return out
 
 
 _fold = _Folding()
-_ascii = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
-
-
-def _readings(word: str) -> list[str]:
-    out = [""]
-    for c in word:
-        letters = STANDS_FOR.get(c, c)
-        out = [o + x for o in out for x in letters][:8]
-    return out
+_ascii = bytes(ord("i") if chr(c) == "l" else c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 
 
 def fold(text: str) -> str:
@@ -85,7 +92,7 @@ def fold(text: str) -> str:
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
     if _SIGNS.search(text):
-        text = _DISGUISED.sub(lambda m: " ".join(dict.fromkeys(_readings(m[0].strip("@$!|")))), text)
+        text = _SIGNS.sub(_read, text)
     if "." in text or "*" in text or "-" in text or "_" in text:
         text = _SPELLED.sub(lambda m: m[0][::2], text)
     folded = text.encode().translate(_ascii).decode("ascii") if text.isascii() else text.translate(_fold)
@@ -102,7 +109,7 @@ def terms_of(text: str) -> set[str]:
 class Model:
     lexicon: dict[str, float]
     curve: tuple[float, ...]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
 
 def build(model: Model):
@@ -192,12 +199,55 @@ def _without_longer(rows: list[tuple[str, int, int]], toxic: int, clean: int) ->
     return kept
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def _lexicon(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Terms that toxic texts hold significantly more often, from (term, toxic texts, clean texts), with their weights."""
+    kept = []
+    for term, p, n in rows:
+        if p < LEAST_TEXTS or np.log((p + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1)) < LEAST_ODDS:
+            continue
+        expected = (p + n) * toxic / (toxic + clean)
+        if 2 * (p * np.log(p / expected) + (n * np.log(n / (p + n - expected)) if n else 0.0)) >= LEAST_RATIO:
+            kept.append((term, p, n))
+    return _without_longer(kept, toxic, clean)
+
+
+def phrases_of(text: str, words: set[str], beginnings: set[str]) -> set[str]:
+    """Words of the lexicon in a text, each with the word before and the word after it."""
+    found = fold(text).split()
+    at = [i for i, w in enumerate(found) if w in words or any(w[:k] in beginnings for k in PREFIXES)]
+    return {" ".join(found[i + d : i + d + 2]) for i in at for d in (-1, 0) if 0 <= i + d < len(found) - 1}
+
+
+def _exceptions(rows: DataFrame, lexicon: dict[str, float], toxic: int, clean: int) -> tuple[str, ...]:
+    """Phrases around words of the lexicon that speak for a clean text."""
+    words, beginnings = {t.strip() for t in lexicon if t.endswith(" ")}, {t.strip() for t in lexicon if not t.endswith(" ")}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n[label].update(phrases_of(text, words, beginnings))
+        yield from _counted(n, "phrase")
+
+    counted = rows.select("text", "toxic").mapInArrow(count, "phrase string, p long, n long").groupBy("phrase").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    # A phrase of the sample's texts each: the sample bounds them.
+    kept = counted.where((F.col("n") >= LEAST_EXCUSED) & (F.col("n") * toxic > F.col("p") * clean)).select("phrase").collect()
+    return tuple(sorted(r[0] for r in kept))
+
+
+def _counted(n: dict[int, Counter], name: str) -> Iterator[pa.RecordBatch]:
+    terms = list(n[0].keys() | n[1].keys())
+    for i in range(0, len(terms), 50_000):
+        some = terms[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *[pa.array([n[k][t] for t in some], pa.int64()) for k in (1, 0)]], names=[name, "p", "n"])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     labels = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     sizes = {r[0]: r[1] for r in labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return Model({}, (), exceptions)
+        return Model({}, ())
     # A hash below the label's share takes about ``sample`` rows of it, without sorting or gathering.
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20))
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / sizes[1]))).otherwise(F.lit(min(1.0, sample / sizes[0])))
@@ -205,35 +255,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL, ex
     # At most about 2 * sample ids are broadcast.
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(picked), "doc_id")
     # Copies count once, so that a much-copied text doesn't make its words toxic.
-    rows = staged(rows.dropDuplicates(["text", "toxic"]).select("text", "toxic", "half"), "labelled")
+    rows = staged(rows.groupBy("text", "toxic").agg(F.min("half").cast("int").alias("half")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        n: dict[int, dict[int, Counter]] = {h: {0: Counter(), 1: Counter()} for h in (0, 1)}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[toxic].update(terms_of(text))
-        terms = list(n[0].keys() | n[1].keys())
-        for i in range(0, len(terms), 50_000):
-            some = terms[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *[pa.array([n[k][t] for t in some], pa.int64()) for k in (1, 0)]], names=["term", "p", "n"])
-
-    first, second = rows.where("half = 0"), rows.where("half = 1")
-    have = {r[0]: r[1] for r in first.groupBy("toxic").count().collect()}
-    toxic, clean = have.get(1, 0), have.get(0, 0)
-    if not toxic or not clean:
-        return Model({}, (), exceptions)
-    terms = first.select("text", "toxic").mapInArrow(count, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    p, n = F.col("p").cast("double"), F.col("n").cast("double")
-    expected = (p + n) * (toxic / (toxic + clean))
-    ratio = 2 * (p * F.log(p / expected) + F.when(n > 0, n * F.log(n / (p + n - expected))).otherwise(0.0))
-    excess = F.log((p + 0.5) / (toxic + 1)) - F.log((n + 0.5) / (clean + 1))
-    kept = terms.where(F.col("p") >= LEAST_TEXTS).withColumn("ratio", ratio).where((excess >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO))
-    best = kept.orderBy(F.desc("ratio"), "term").limit(LEXICON_SIZE).collect()
-    lexicon = _without_longer([(r["term"], r["p"], r["n"]) for r in best], toxic, clean)
-    model = Model(lexicon, (), exceptions)
-    seen = feature_rows(second.select("toxic", "text"), model, "toxic").collect()
-    if len({r["toxic"] for r in seen}) < 2:
-        return Model(lexicon, (-2.0, 0.0, 0.5, 0.5), exceptions)
+            for text, toxic, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n[half][toxic].update(terms_of(text))
+        for half in (0, 1):
+            for out in _counted(n[half], "term"):
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([half] * out.num_rows, pa.int32())], names=[*out.schema.names, "half"])
+
+    have = {(r[0], r[1]): r[2] for r in rows.groupBy("half", "toxic").count().collect()}
+    toxic, clean = ([have.get((h, k), 0) for h in (0, 1)] for k in (1, 0))
+    if not sum(toxic) or not sum(clean):
+        return Model({}, ())
+    by_half = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for c in "pn" for h in (0, 1)]
+    terms = rows.select("text", "toxic", "half").mapInArrow(count, "term string, p long, n long, half int").groupBy("term").agg(*by_half)
+    # Terms of the sample's texts that at least LEAST_TEXTS toxic ones hold, and too often: the sample bounds them.
+    excess = F.log((F.col("p0") + F.col("p1") + 0.5) / (sum(toxic) + 1)) - F.log((F.col("n0") + F.col("n1") + 0.5) / (sum(clean) + 1))
+    some = terms.where((F.col("p0") + F.col("p1") >= LEAST_TEXTS) & (excess >= LEAST_ODDS)).collect()
+    lexicons = [_lexicon([(r["term"], r[f"p{h}"], r[f"n{h}"]) for r in some], toxic[h], clean[h]) for h in (0, 1)]
+    lexicon = _lexicon([(r["term"], r["p0"] + r["p1"], r["n0"] + r["n1"]) for r in some], sum(toxic), sum(clean))
+    exceptions = _exceptions(rows, lexicon, sum(toxic), sum(clean)) if lexicon else ()
+    # Each half is scored by what the other one taught.
+    seen = [r for h in (0, 1) for r in feature_rows(rows.where(F.col("half") == 1 - h).select("toxic", "text"), Model(lexicons[h], (), exceptions), "toxic").collect()]
     x = np.array([[r["total"], r["dense"], r["largest"]] for r in seen])
     y = np.array([r["toxic"] for r in seen], dtype=float)
     # Each label weighs as many rows as it has, not as many as were taken.
