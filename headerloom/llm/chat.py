@@ -41,12 +41,13 @@ START, TEXT, END = "<|start|>", "<|text|>", "<|end|>"
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<pad>", "<unk>", "<start_of_turn>", "<end_of_turn>")
 LEARNED_ROLE = "assistant"
 
-_ESCAPED = re.compile(r"\\|" + "|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=True))))
+#: A backslash, or a character with which a control string begins here; control strings may overlap.
+_ESCAPED = re.compile("|".join([r"\\", *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROLS)]))
 _TURN = re.compile(re.escape(START) + r"(.*?)" + re.escape(TEXT) + r"(.*?)" + re.escape(END) + "\n", re.DOTALL)
 
 
 def escape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\" + m[0][1:], text)
+    return _ESCAPED.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:
@@ -163,14 +164,14 @@ def digests(conversations: DataFrame) -> DataFrame:
 
 
 def as_tree(turns: DataFrame) -> DataFrame:
-    """Linear conversations (conv_id, turn, role, text) as trees: each turn replies to the one before it."""
+    """Linear conversations (conv_id, turn, role, text) as trees: each turn replies to the one before it, scored by its characters."""
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return turns.select(F.col("conv_id").alias("conv"), at.alias("node"), "role", "text").select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return turns.select(F.col("conv_id").alias("conv"), at.alias("node"), "role", "text").select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"))
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:
-    """Every conversation, and conversation -1 of control strings, formatted, stored and parsed again."""
+    """The best branch of every conversation, and of conversation -1 of control strings, formatted, stored and parsed again."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     messages = staged(as_tree(turns.unionByName(probe)), "messages")
-    return digests(staged(formatted(messages, unique=True), "chats"))
+    return digests(staged(formatted(messages, branches=1, unique=True), "chats"))

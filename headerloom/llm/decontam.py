@@ -78,7 +78,9 @@ def occurrences(docs: DataFrame, index: DataFrame, prefix_words: list[str], wind
     rows = found.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), F.explode_outer(around).alias("c")).select("doc_id", "text_key", "n_words", "c.*")
     within = F.slice("near", F.col("place") - F.col("at") - F.col("low") + 1, F.size("words"))
     bounds = (F.col("place") > F.col("at")) & (F.col("place") - F.col("at") + F.size("words") - 1 <= F.col("n_words"))
-    met = rows.join(index, "word", "left")
+    # A clean document's row has a word that no index holds, its own: such rows are dealt over all tasks.
+    own = F.concat(F.lit("\0"), F.xxhash64("doc_id", "text_key").cast("string"))
+    met = rows.withColumn("word", F.coalesce("word", own)).join(index, "word", "left")
     # Without a verified window, a row still says how many words its document has.
     start = F.when(bounds & F.when(bounds, within == F.col("words")), F.col("place") - F.col("at"))
     return met.select("doc_id", "text_key", "n_words", start.alias("start"), F.when(start.isNotNull(), F.size("words")).alias("n"), F.when(start.isNotNull(), F.col("items")).alias("items"))

@@ -42,12 +42,38 @@ TEXT_WEIGHT = 40.0
 HOST_SMOOTHING, DOMAIN_SMOOTHING = 5.0, 20.0
 VALUE_SMOOTHING = 0.5
 
-_HIDDEN = re.compile(r"<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNORECASE | re.DOTALL)
+_HIDDEN = ("script", "style", "nav", "noscript", "template")
+_OPENS = re.compile(rf"<({'|'.join(_HIDDEN)})\b", re.IGNORECASE)
+_CLOSES = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _HIDDEN}
 _NOT_LETTERS = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
 
 def visible_text(page: str) -> str:
-    text = _HIDDEN.sub(" ", page)
+    """The text outside tags, comments and hidden elements; an element or comment that isn't closed hides nothing.
+
+    What has no end is looked for once in a page, so that thousands of open tags cost no more than one.
+    """
+    out, at, endless = [], 0, set()
+    while (start := page.find("<", at)) >= 0:
+        end = -1
+        if "<!--" not in endless and page.startswith("<!--", start):
+            end = page.find("-->", start + 4) + 3
+            if end == 2:
+                endless.add("<!--")
+                end = -1
+        elif (m := _OPENS.match(page, start)) and (name := m[1].lower()) not in endless:
+            closing = _CLOSES[name].search(page, m.end())
+            if closing:
+                end = closing.end()
+            else:
+                endless.add(name)
+        if end < 0:
+            end = page.find(">", start) + 1
+        if not end:
+            break
+        out += [page[at:start], " "]
+        at = end
+    text = "".join([*out, page[at:]])
     return markup.unescape(text) if "&" in text else text
 
 

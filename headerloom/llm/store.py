@@ -38,6 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -312,7 +313,13 @@ def op10_token_store(spark, sf_dir: str) -> DataFrame:
 
 
 def store_in_file_order(docs: DataFrame) -> DataFrame:
-    """The ids of ``docs``, read from files, in the order of files and rows, written and read back."""
+    """The ids of ``docs`` in the order of its files, by their numbers, and rows, written and read back; rows that don't come straight from files are taken in the order that they have."""
     path = tokenizer_path()
-    order = {"by_file": F.col("_metadata.file_name"), "by_row": F.col("_metadata.row_index")}
+    try:
+        docs.select("_metadata.file_name")
+        name = F.col("_metadata.file_name")
+        number = F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) as bigint)")
+        order = {"by_number": number, "by_file": name, "by_row": F.col("_metadata.row_index")}
+    except AnalysisException:
+        order = {"by_row": F.monotonically_increasing_id()}
     return read_store(docs.sparkSession, write_store(docs, path, order=order), path)

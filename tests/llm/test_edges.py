@@ -3,6 +3,7 @@
 import io
 import math
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -115,7 +116,7 @@ def test_formatting_is_reversible(turns):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text())
+@given(st.one_of(st.text(), CONTROL_TEXT))
 def test_no_control_string_is_left(text):
     assert not any(c in chat.escape(text) for c in chat.CONTROLS)
 
@@ -189,13 +190,16 @@ def test_licence_rules(spark):
 
 
 def test_folding_and_exceptions():
-    assert toxicity.fold("Ｉd1оt!").split() == ["idiot", "idlot"]
-    assert toxicity.fold("really! so$$$ 1999 times").split() == ["really", "so", "times"]
-    assert " clown " in toxicity.fold("c1own")
+    # l is read as i.
+    assert toxicity.fold("Ｉd1оt!").split() == ["idiot"]
+    assert toxicity.fold("really! so$$$ 1999 times").split() == ["reaiiy", "sosss", "times"]
+    assert " ciown " in toxicity.fold("c1own")
+    assert " ciown " in toxicity.fold("c|0wn")
     assert " idiot " in toxicity.fold("an 1d10t?")
     assert " idiot " in toxicity.fold("such i.d.i.o.t now")
     assert " cash " in toxicity.fold("ca$h %%% x")
-    model = toxicity.Model({" clown ": 3.0, " lowe": 2.0}, (-2.0, 0.0, 1.0, 1.0))
+    assert [toxicity.fold(w).strip() for w in ("5cum", "$cum", "1diot", "!diot", "moro7", "@ss", "111i111", "idiot!!")] == ["scum", "scum", "idiot", "idiot", "morot", "ass", "iiiiiii", "idiot"]
+    model = toxicity.Model({" ciown ": 3.0, " iowe": 2.0}, (-2.0, 0.0, 1.0, 1.0), ("ciown fish",))
     automaton = toxicity.build(model)
     assert toxicity.features("a clown", automaton)[2] == 3.0
     assert toxicity.features("a clown fish", automaton) == (0.0, 0.0, 0.0)
@@ -203,6 +207,34 @@ def test_folding_and_exceptions():
     assert toxicity.features("flower", automaton)[2] == 0.0
 
 
+def test_exceptions_are_learned_from_clean_rows(spark):
+    rows = [(i, f"you are a clown number {i}", 1) for i in range(40)] + [(100 + i, f"we saw a clown fish in tank {i}", 0) for i in range(12)] + [(200 + i, f"a fine day {i}", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert "ciown fish" in model.exceptions
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
+    assert min(got[i] for i in range(40)) > max(got[i] for i in range(100, 112))
+
+
+@pytest.mark.parametrize("text", ["a1a " + "b" * 300_000, "1" * 300_000, "a" + "1!" * 200_000, "a.b-" * 100_000, "_" * 300_000, "a$" * 150_000 + " x"])
+def test_long_runs_are_folded_in_time(text):
+    began = time.time()
+    toxicity.fold(text)
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("page", ["<script>" * 50_000, "<!--" * 100_000, "<" * 300_000, "<style><nav>" * 30_000 + "</style>", "<a " * 100_000])
+def test_unclosed_tags_are_left_in_time(page):
+    began = time.time()
+    langid.visible_text(page)
+    assert time.time() - began < 5
+
+
+def test_visible_text():
+    assert langid.visible_text("a<script>x<b></SCRIPT >b<!-- <p> -->c<p title='x'>d &amp; e<nav>f").split() == ["a", "b", "c", "d", "&", "e", "f"]
+    assert langid.visible_text("1 < 2<!--") == "1 < 2<!--"
+
+
 def test_crc_shares_add_up():
     import zlib
 

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from headerloom.llm import langid, mixing, store, toxicity
 from headerloom.llm.queries import ORACLE_SQL, QUERIES
@@ -205,11 +206,39 @@ def test_op9_tells_toxic_documents_apart(spark, small):
     assert (clean >= 0.7).mean() < 0.05
 
 
+def test_op9_finds_held_out_toxic_documents_of_each_language(spark, large):
+    docs = table(large, "documents")
+    got = QUERIES["op9_toxicity"](spark, large).toPandas()
+    rows = table(large, "labels").merge(docs, on="doc_id").merge(got, on="doc_id")
+    rows = rows[rows["held_out"]]
+    for lang, g in rows.groupby("lang"):
+        toxic, clean = g[g["toxic"] == 1], g[g["toxic"] == 0]
+        assert len(toxic) >= 10
+        assert toxic["predicted"].mean() >= 0.9, lang
+        assert clean["predicted"].mean() <= 0.01, lang
+
+
+def test_op9_scores_without_the_automaton(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{small}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
+    words = {t.strip(): w for t, w in model.lexicon.items() if t.endswith(" ")}
+    beginnings = {t.strip(): w for t, w in model.lexicon.items() if not t.endswith(" ")}
+    for d in table(small, "documents").itertuples():
+        found, total, largest = toxicity.fold(d.text or "").split(), 0.0, 0.0
+        for i, w in enumerate(found):
+            if any(p in model.exceptions for p in (" ".join(found[max(0, i - 1) : i + 1]), " ".join(found[i : i + 2]))):
+                continue
+            weight = max([words.get(w, 0.0), *(v for b, v in beginnings.items() if w.startswith(b))])
+            total, largest = total + weight, max(largest, weight)
+        x = np.array([[np.log1p(total), np.log1p(1000 * total / max(20, len(found))), largest]])
+        assert got[d.doc_id] == pytest.approx(1 / (1 + np.exp(-(x @ np.array(model.curve[1:]) + model.curve[0])[0])), abs=1e-9)
+
+
 def test_op9_learns_nothing_from_held_out_labels(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     labels = spark.read.parquet(f"{tiny}/labels.parquet")
-    from pyspark.sql import functions as F
-
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.train(docs, x.where(~toxicity.held_out(F.col("doc_id")))) for x in (labels, turned))
     assert a.lexicon == b.lexicon
