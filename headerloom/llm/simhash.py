@@ -7,8 +7,8 @@ number of blocks follows the number of distinct fingerprints, so that chance
 meetings on a key stay rare; any number of blocks finds every pair.
 
 Copies share a fingerprint and are one node. Inside a key, all points are first
-compared with one pivot (the least). What that leaves outside the pivot's
-component is compared with all points of the key. So a dense group of near
+compared with one pivot, another one in each key. What that leaves outside the
+pivot's component is compared with all points of the key. So a dense group of near
 copies costs a few passes over its points instead of all its pairs, and no link
 between different components is lost.
 
@@ -21,12 +21,12 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headerloom.llm.common import hex_digits, spread_join, staged, text_or_empty
@@ -83,7 +83,7 @@ def _block_masks(blocks: int, max_distance: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def _close(a: str, b: str, max_distance: int):
+def _close(a: str, b: str, max_distance: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
 
 
@@ -112,23 +112,31 @@ def components(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` (key, fp) whose key another point has too, with the key's pivot: its least point."""
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
+    """Rows of ``keyed`` (key, fp) whose key another point has too, with the key's pivot.
+
+    The pivot is a point that the key chooses by hash, so that the keys of a
+    group of near copies have different ones: a group hangs together by what its
+    points share with many pivots, even where one of them is far from most.
+    """
+    first = F.min(F.struct(F.xxhash64("key", "fp").alias("h"), "fp"))["fp"]
+    shared = keyed.groupBy("key").agg(first.alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     return staged(spread_join(keyed, shared, ["key"], F.col("fp")), "keyed")
 
 
-def meetings(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs of points of one key that no link connects yet, without pairs with the pivot.
+def meetings(keyed: DataFrame, roots: DataFrame, close: Callable[[str, str], Column], carried: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b): ``close`` pairs of points of one key that no link connects yet, without pairs with the pivot.
 
     Points of the pivot's component are settled among themselves; each other
     point of a key meets all points of the key that lie in another component.
+    ``close`` takes the suffixes of both sides' columns fp and ``carried``.
     """
     pivot_roots = roots.select(F.col("fp").alias("pivot"), F.col("root").alias("pivot_root"))
     placed = staged(spread_join(keyed.join(roots, "fp"), pivot_roots, ["pivot"], F.col("fp")), "placed")
-    others = placed.where("root <> pivot_root").select("key", F.col("fp").alias("a"), F.col("root").alias("root_a"))
-    meets = placed.where("fp <> pivot").select("key", F.col("fp").alias("b"), F.col("root").alias("root_b"), (F.col("root") != F.col("pivot_root")).alias("other"))
-    met = spread_join(meets, others, ["key"], F.col("b")).where(F.col("root_a") != F.col("root_b"))
-    return met.where((F.col("a") < F.col("b")) | ~F.col("other")).select("a", "b")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("fp", "root", *carried)]
+    others = placed.where("root <> pivot_root").select("key", *side("a"))
+    meets = placed.where("fp <> pivot").select("key", *side("b"), (F.col("root") != F.col("pivot_root")).alias("other"))
+    met = spread_join(meets, others, ["key"], F.col("fp_b")).where(F.col("root_a") != F.col("root_b"))
+    return met.where((F.col("fp_a") < F.col("fp_b")) | ~F.col("other")).where(close("a", "b")).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
 
 def near_pairs(points: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int | None = None) -> DataFrame:
@@ -139,7 +147,7 @@ def near_pairs(points: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int
     keyed = shared_keys(points.select("fp", F.explode(parts).alias("key")))
     pivots = keyed.where(F.col("fp") != F.col("pivot")).where(_close("fp", "pivot", max_distance))
     first = staged(pivots.select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "pivots")
-    second = meetings(keyed, components(points, first)).where(_close("a", "b", max_distance))
+    second = meetings(keyed, components(points, first), lambda a, b: _close(f"fp_{a}", f"fp_{b}", max_distance))
     return first.union(second.distinct())
 
 
