@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Balanced parentheses, up to three deep.
-GROUP = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+#: Balanced parentheses, up to three deep. Possessive repeats are loops, not calls: texts of any length pass.
+GROUP = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
 #: Stands for a group that was taken out.
 MARK = "\u0001"
 #: What Unicode counts as white space.

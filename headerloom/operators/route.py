@@ -25,6 +25,13 @@ def parse_timestamp(text: Column) -> tuple[Column, Column]:
     known = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
     named = F.coalesce(F.try_element_at(known, offset), offset, F.lit("+0000"))
     clock = found(plain, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}(?::\d{2})?)")
+    # Years of two digits from 69 on are of the last century.
+    short = r"(\d{1,2} [A-Za-z]{3}) (\d{2}) (\d{1,2}:\d{2}(?::\d{2})?)"
+    century = F.when(found(plain, short, 2).cast("int") >= 69, "19").otherwise("20")
+    clock = F.coalesce(clock, F.concat(found(plain, short, 1), F.lit(" "), century, found(plain, short, 2), F.lit(" "), found(plain, short, 3)))
+    # As C writes it: Tue Oct 21 23:28:50 2025.
+    spoken = r"([A-Za-z]{3}) (\d{1,2}) (\d{1,2}:\d{2}(?::\d{2})?)(?: [A-Z]{1,4})? (\d{4})"
+    clock = F.coalesce(clock, F.concat_ws(" ", found(plain, spoken, 2), found(plain, spoken, 1), found(plain, spoken, 4), F.nullif(F.regexp_extract(plain, spoken, 3), F.lit(""))))
     # Seconds may be left out.
     clock = F.regexp_replace(clock, r" (\d{1,2}:\d{2})$", " $1:00")
     return F.try_to_timestamp(F.concat_ws(" ", clock, named), F.lit("d MMM yyyy H:mm:ss Z")), offset
@@ -112,6 +119,7 @@ def routes(messages: DataFrame, hops: DataFrame, config: EngineConfig) -> DataFr
         F.count_if("crosses").alias("n_crossings"),
         F.count_if(F.col("used_tls") == F.lit(False)).alias("n_plain_hops"),
         F.collect_set(F.lower("from_host")).alias("from_hosts"),
+        F.collect_set(F.lower("from_rdns")).alias("from_names"),
         F.collect_set(F.lower("by_host")).alias("by_hosts"),
     )
     sure = F.when(F.col("t").isNull(), "low").when(F.col("t.primary_ip").isNotNull(), "high").otherwise("medium")
@@ -127,5 +135,5 @@ def routes(messages: DataFrame, hops: DataFrame, config: EngineConfig) -> DataFr
         F.coalesce("n_crossings", F.lit(0)).alias("n_crossings"),
         F.coalesce("n_plain_hops", F.lit(0)).alias("n_plain_hops"),
         F.coalesce("t.primary_ip", "first_ip").alias("connecting_ip"),
-        F.array_union(F.coalesce("from_hosts", F.array().cast("array<string>")), F.coalesce("by_hosts", F.array().cast("array<string>"))).alias("hosts"),
+        F.array_distinct(F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("from_hosts", "from_names", "by_hosts")]))).alias("hosts"),
     )

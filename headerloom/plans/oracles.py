@@ -103,6 +103,8 @@ SELECT msg_id, code, value, CASE code WHEN 'CIP' THEN '' WHEN 'SCL' THEN CASE va
     "ip_extract": f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\w.]+')) AS ip FROM documents) SELECT DISTINCT doc_id, ip FROM t WHERE regexp_full_match(ip, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){{3}}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])')",
     "ip_classify": f"""{_IPS} SELECT o_orderkey, ip, CASE WHEN v = 0 THEN 'unspecified' WHEN v // 16777216 = 127 THEN 'loopback' WHEN v // 65536 = 43518 THEN 'link_local' WHEN v // 268435456 = 14 THEN 'multicast' WHEN v // 256 IN (12582914, 12989284, 203 * 65536 + 113) THEN 'documentation'
  WHEN v IN (3221225481, 3221225482) THEN 'public' WHEN v // 16777216 IN (0, 10) OR v // 1048576 = 2753 OR v // 256 = 12582912 OR v // 65536 = 49320 OR v // 131072 = 25353 OR v // 268435456 = 15 THEN 'private' WHEN v // 4194304 = 401 THEN 'reserved' ELSE 'public' END AS class FROM t""",
+    "rfc2047": "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS decoded FROM documents",
+    "auth_spoofed_name": "SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, 'other' || o_orderkey % 7 || '.example' AS from_domain, CASE o_orderkey % 3 WHEN 0 THEN 'bounce' || o_orderkey % 5 || '.example' END AS envelope_domain, CASE WHEN o_orderkey % 3 = 0 THEN 'mismatch' ELSE 'unknown' END AS spf_alignment FROM orders",
     "dnsbl_name": f"{_IPS} SELECT o_orderkey, ip, (v % 256) || '.' || (v // 256 % 256) || '.' || (v // 65536 % 256) || '.' || (v // 16777216) || '.zen.spamhaus.org' AS name FROM t",
     "url_host": f"SELECT page_id, lower({_HOST}) AS host FROM pages",
     "domain_normalize": f"SELECT page_id, lower({_HOST}) AS domain FROM pages",
@@ -111,7 +113,7 @@ SELECT msg_id, code, value, CASE code WHEN 'CIP' THEN '' WHEN 'SCL' THEN CASE va
     "domain_skeleton": "WITH n AS (SELECT n_nationkey, lower(replace(n_name, ' ', '')) AS x FROM nation), f AS (SELECT n_nationkey, unnest(range(5)) AS form, unnest([x, x[1] || x, x || '-pay', translate(x, 'ols', '015'), 'x' || x || 'yz']) AS label FROM n) SELECT n_nationkey, form, translate(label || '.example', '015', 'ols') AS skeleton FROM f",
     "domain_lookalike": """WITH n AS (SELECT lower(replace(n_name, ' ', '')) AS x FROM nation), f AS (SELECT DISTINCT unnest([x, x[1] || x, x || '-pay', translate(x, 'ols', '015'), 'x' || x || 'yz']) AS raw FROM n),
 w AS (SELECT unnest([1, 2, 3]) AS o, unnest(['nation_7', 'nation_12', 'nation_21']) AS t), s AS (SELECT raw, translate(raw, '015', 'ols') AS a, o, t, translate(t, '015', 'ols') AS b FROM f, w WHERE raw <> t),
-k AS (SELECT raw, o, t, CASE WHEN a = b THEN 'homoglyph' WHEN levenshtein(a, b) = 1 OR levenshtein(a, b) = 2 AND length(b) >= 7 THEN 'edit-distance' WHEN a <> b AND contains(a, b) THEN 'embedded-brand' END AS technique FROM s)
+k AS (SELECT raw, o, t, CASE WHEN a = b THEN 'homoglyph' WHEN levenshtein(a, b) = 1 OR levenshtein(a, b) = 2 AND length(b) >= 7 THEN 'edit-distance' WHEN contains(raw, t) THEN 'embedded-brand' END AS technique FROM s)
 SELECT raw || '.example' AS domain, arg_min(t, o) || '.example' AS matched, arg_min(technique, o) AS technique FROM k WHERE technique IS NOT NULL GROUP BY raw""",
     "ioc_email": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\\w.+-])([a-zA-Z0-9._%+-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+)', 1)) AS e FROM documents) SELECT doc_id, lower(e) AS email, count(*) AS n FROM t GROUP BY ALL",
     "ioc_url": "WITH t AS (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, '(?i)(?:https?|hxxps?)://[^\\s<>\"''\\])]+')) AS u FROM pages) SELECT page_id, u AS url, count(*) AS n FROM t GROUP BY ALL",

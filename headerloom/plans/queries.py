@@ -84,6 +84,14 @@ def auth_alignment(spark, sf):
     return found.select("msg_id", "from_domain", "envelope_domain", "spf_alignment", "dkim_alignment", F.array_join("dkim_domains", ",").alias("dkim_domains"))
 
 
+def auth_spoofed_name(spark, sf):
+    """A display name that holds somebody else's address says nothing about the sender."""
+    text = """concat('From: "ceo@c', o_custkey % 40, '.example" <u', o_custkey, '@Other', o_orderkey % 7, '.example>', if(o_orderkey % 3 = 0, concat('\nReturn-Path: <b@bounce', o_orderkey % 5, '.example>'), ''))"""
+    messages = _table(spark, sf, "orders").selectExpr("cast(o_orderkey as string) as msg_id", f"{text} as raw_header", "cast(null as string) as body")
+    fields = headers.parse_fields(messages)
+    return auth.summaries(messages, fields, auth.evidence(fields, CONFIG)).select("msg_id", "from_domain", "envelope_domain", "spf_alignment")
+
+
 def auth_arc_latest(spark, sf):
     return auth.arc_status(_fields(spark, sf)).select("msg_id", "n_seals", "newest", "cv")
 
@@ -105,8 +113,14 @@ def ioc_dedupe(spark, sf):
     return found.where("kind = 'ipv4'").select("msg_id", "normalized", "occurrences", "ip_class", "eligible", "defanged")
 
 
+def ioc_all_kinds(spark, sf):
+    """Every indicator of every message, of any kind."""
+    found = ioc.indicators(ioc.header_hits(_fields(spark, sf)))
+    return found.select("msg_id", "kind", "normalized", "value", "occurrences", "sources", "ip_class", "eligible", "defanged", "is_unicode")
+
+
 def ip_extract(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.explode(net.ipv4s(F.coalesce("text", F.lit("")))).alias("ip"))
+    return _table(spark, sf, "documents").select("doc_id", F.explode(net.ips(F.coalesce("text", F.lit("")))).alias("ip"))
 
 
 def _ip_rows(spark, sf):
@@ -258,16 +272,18 @@ def report_markdown(spark, sf):
 
 
 def rfc2047(spark, sf):
-    coded = F.concat(F.lit("=?utf-8?B?"), F.regexp_replace(F.base64(F.encode(F.substring("text", 1, 30), "utf-8")), r"\s", ""), F.lit("?="))
-    rows = _table(spark, sf, "documents").select("doc_id", coded.alias("v"))
+    """Whole texts as encoded words of ten characters each, at most 68 characters long, decoded again."""
+    word = lambda i: F.concat(F.lit("=?utf-8?B?"), F.regexp_replace(F.base64(F.encode(F.substr("text", i * 10 + 1, F.lit(10)), "utf-8")), r"\s", ""), F.lit("?="))
+    coded = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / 10).cast("int"))), word), " ")
+    rows = _table(spark, sf, "documents").select("doc_id", F.when(F.col("text").isNotNull(), coded).alias("v"))
     return rows.select("doc_id", headers.decode_words("v")["text"].alias("decoded"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        route_transit, route_hops, route_tls, route_delays, route_trust_boundary, route_internal_to_public, header_fields, header_duplicates, header_unparsable, auth_evidence, auth_trust, auth_alignment, auth_arc_latest,
-        dkim_domains, identity_compare, vendor_decode, ioc_dedupe, ioc_email, ioc_url, ioc_domain, ioc_defang, ip_extract, ip_classify, dnsbl_name, url_host, domain_normalize, domain_org, domain_compare, domain_skeleton,
+        route_transit, route_hops, route_tls, route_delays, route_trust_boundary, route_internal_to_public, header_fields, header_duplicates, header_unparsable, auth_evidence, auth_trust, auth_alignment, auth_spoofed_name, auth_arc_latest,
+        dkim_domains, identity_compare, vendor_decode, ioc_dedupe, ioc_all_kinds, ioc_email, ioc_url, ioc_domain, ioc_defang, ip_extract, ip_classify, dnsbl_name, url_host, domain_normalize, domain_org, domain_compare, domain_skeleton,
         domain_lookalike, spf_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
     )
 }
