@@ -29,13 +29,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headerloom.llm.common import hex_digits, spread_join, staged, text_or_empty
+from headerloom.llm.common import WAYS, hex_digits, spread_join, staged, text_or_empty
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
 SEED = 42
 #: Random pairs expected on one key for each fingerprint, at most; more blocks are taken beyond.
 CHANCE_PER_POINT = 4.0
+#: Points of one key beyond which they are dealt over several tasks.
+OFTEN = 200
 
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
@@ -112,15 +114,27 @@ def components(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` (key, fp) whose key another point has too, with the key's pivot.
+    """Rows of ``keyed`` (key, fp) whose key another point has too, with the key's pivot and the ways over which its rows are dealt.
 
     The pivot is a point that the key chooses by hash, so that the keys of a
     group of near copies have different ones: a group hangs together by what its
     points share with many pivots, even where one of them is far from most.
     """
     first = F.min(F.struct(F.xxhash64("key", "fp").alias("h"), "fp"))["fp"]
-    shared = keyed.groupBy("key").agg(first.alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    return staged(spread_join(keyed, shared, ["key"], F.col("fp")), "keyed")
+    ways = F.when(F.col("n") > OFTEN, WAYS).otherwise(1)
+    shared = staged(keyed.groupBy("key").agg(first.alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot", ways.alias("ways")), "shared")
+    # Only keys of many points are copied; all other rows have way 0.
+    often = staged(shared.where("ways > 1").select("key", "ways"), "often")
+    dealt = spread_join(keyed, often, ["key"], F.col("fp"), "left").withColumn("way", way_of(F.col("fp"))).drop("ways")
+    return staged(dealt.join(shared.withColumn("way", each_way()), ["key", "way"]).drop("way"), "keyed")
+
+
+def way_of(by: Column) -> Column:
+    return F.when(F.col("ways") > 1, F.pmod(F.xxhash64(by), F.col("ways")).cast("int")).otherwise(0)
+
+
+def each_way() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("ways") - 1))
 
 
 def meetings(keyed: DataFrame, roots: DataFrame, close: Callable[[str, str], Column], carried: tuple[str, ...] = ()) -> DataFrame:
@@ -133,9 +147,9 @@ def meetings(keyed: DataFrame, roots: DataFrame, close: Callable[[str, str], Col
     pivot_roots = roots.select(F.col("fp").alias("pivot"), F.col("root").alias("pivot_root"))
     placed = staged(spread_join(keyed.join(roots, "fp"), pivot_roots, ["pivot"], F.col("fp")), "placed")
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("fp", "root", *carried)]
-    others = placed.where("root <> pivot_root").select("key", *side("a"))
-    meets = placed.where("fp <> pivot").select("key", *side("b"), (F.col("root") != F.col("pivot_root")).alias("other"))
-    met = spread_join(meets, others, ["key"], F.col("fp_b")).where(F.col("root_a") != F.col("root_b"))
+    others = placed.where("root <> pivot_root").select("key", each_way().alias("way"), *side("a"))
+    meets = placed.where("fp <> pivot").select("key", way_of(F.col("fp")).alias("way"), *side("b"), (F.col("root") != F.col("pivot_root")).alias("other"))
+    met = meets.join(others, ["key", "way"]).where(F.col("root_a") != F.col("root_b"))
     return met.where((F.col("fp_a") < F.col("fp_b")) | ~F.col("other")).where(close("a", "b")).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
 
