@@ -5,9 +5,18 @@ weight of ``w`` out of ``W``, block ``j`` of a source is released at slot
 ``floor(j W / w)`` and due before slot ``ceil((j + 1) W / w)``. Earliest
 deadline first meets every deadline where the weights fill the slots exactly,
 so after any number of slots each source is less than one block away from its
-share. The schedule repeats after ``W`` slots: one period is computed on the
-driver from the weights alone (at most ``MAX_SOURCES`` sources and
-``MAX_PARTS`` slots) and joined to the rows.
+share. The schedule repeats after ``W`` slots: one period is computed from the
+weights alone (at most ``MAX_PARTS`` slots) and joined to the rows.
+
+Weights that are whole parts of at most ``MAX_PARTS`` are kept exactly. Others
+are rounded to parts, and these parts are what the bound holds for.
+
+Up to ``most`` sources are scheduled together on the driver. More are first
+put into groups of ``FAN`` neighbours by name: each group is scheduled in a
+task of its own by the same method, and the group then stands as one source of
+its members' rows and weights, level by level until ``most`` are left. Each
+level adds less than one block to the deviation; a group's members take over
+the weight of a member that runs out.
 
 When a source runs out, a phase ends and the others go on with their own
 weights from there; the deviation bound holds inside each phase. No row is
@@ -23,28 +32,40 @@ named are carried along unchanged by ``interleaved`` and ignored by the query.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headerloom.llm.common import in_order
+from headerloom.llm.common import in_order, spread_join
 
 NO_SOURCE = "<none>"
 BLOCK_ROWS = 8
 PARTS = 1000
 MAX_PARTS = 20_000
-MAX_SOURCES = 1000
+#: Sources scheduled on the driver, and members of a group where there are more.
+MOST_TOGETHER = 1000
+FAN = 64
 #: Weights follow rows ** TEMPERATURE where none are given: large sources are damped.
 TEMPERATURE = 0.5
 
 
-def weight_parts(shares: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
-    """Shares as whole parts by largest remainder, each source one part at least."""
+def weight_parts(shares: Mapping[str, float], parts: int | None = None) -> dict[str, int]:
+    """Shares as ``parts`` whole parts by largest remainder, each source one part at least; without ``parts`` exactly where MAX_PARTS allow."""
     if not shares:
         return {}
     if any(not x >= 0 for x in shares.values()):
         raise ValueError("a share is negative or not a number")
+    given = {s: Fraction(str(x)) for s, x in shares.items()}
+    whole = sum(given.values())
+    if parts is None and all(given.values()):
+        fine = math.lcm(*[(x / whole).denominator for x in given.values()])
+        if fine <= MAX_PARTS:
+            return {s: int(x / whole * fine) for s, x in given.items()}
+    parts = parts or min(MAX_PARTS, max(PARTS, 4 * len(shares)))
     names, total = sorted(shares), sum(shares.values()) or 1.0
     exact = {s: shares[s] / total * parts for s in names}
     out = {s: max(1, int(exact[s])) for s in names}
@@ -102,7 +123,34 @@ def phases(weights: Mapping[str, int], rows: Mapping[str, int], block_rows: int
 PHASE_SCHEMA = "name string, phase int, first_block long, blocks long, weight long, period long, base_slot long, lacking long, slots array<int>"
 
 
-def _placed(docs: DataFrame, source: str, key: str, weights: Mapping[str, float] | None, block_rows: int, tie: Column | None) -> DataFrame:
+def _slots(block_rows: int) -> tuple[Column, Column]:
+    """(slot, position) of a row n of a source beside its row of the plan."""
+    j = F.col("block") - F.col("first_block")
+    turn = F.get(F.col("slots"), (j % F.col("weight")).cast("int"))
+    slot = F.col("base_slot") + F.floor(j / F.col("weight")).cast("long") * F.col("period") + turn
+    return slot, slot * block_rows - F.col("lacking") + F.col("n") % block_rows
+
+
+def _grouped(placed: DataFrame, level: DataFrame, depth: int, fan: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows and sources one level up: groups of ``fan`` sources as sources, rows numbered in their group's order."""
+    parent = F.concat_ws("/", F.lit(depth), "part", F.floor(F.col("nth") / fan))
+    level = in_order(level, [F.col("name")], "mix-sources").select("name", "rows", "share", parent.alias("parent"))
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        shares, rows = (dict(zip(group["name"], group[c].tolist(), strict=True)) for c in ("share", "rows"))
+        told = pd.DataFrame(phases(weight_parts(shares), rows, block_rows))
+        return told.assign(parent=group["parent"].iloc[0])
+
+    plan = level.groupBy("parent").applyInPandas(work, f"{PHASE_SCHEMA}, parent string")
+    # A source is in as many phases as its group has members, at most.
+    met = spread_join(placed.withColumn("block", F.floor(F.col("n") / block_rows).cast("long")), plan, ["name"], F.col("n"))
+    met = met.where("block >= first_block and block < first_block + blocks")
+    _, position = _slots(block_rows)
+    above = met.select(F.col("parent").alias("name"), *[c for c in placed.columns if c not in ("name", "n")], position.alias("n"))
+    return above, level.groupBy(F.col("parent").alias("name")).agg(F.sum("rows").alias("rows"), F.sum("share").alias("share"))
+
+
+def _placed(docs: DataFrame, source: str, key: str, weights: Mapping[str, float] | None, block_rows: int, tie: Column | None, most: int = MOST_TOGETHER, fan: int = FAN) -> DataFrame:
     """Columns of ``docs`` as c_0, c_1 and so on, with mix_phase, mix_block, mix_slot and mix_position."""
     spark = docs.sparkSession
     order = [F.md5(F.col(key).cast("string")), F.col(key), *([tie] if tie is not None else [])]
@@ -116,33 +164,41 @@ def _placed(docs: DataFrame, source: str, key: str, weights: Mapping[str, float]
     # One row for each part and source that meet: at most parts plus sources, and parts are a setting.
     w = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)) - F.col("first")).select("name", "part", "before")
-    counts = {r[0]: r[1] for r in rows.groupBy("name").agg(F.count("*")).limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; map them to groups first")
-    shares = {s: n**TEMPERATURE for s, n in counts.items()} if weights is None else {s: weights.get(s, 0.0) for s in counts}
-    parts = weight_parts(shares, min(MAX_PARTS, max(PARTS, 4 * len(counts))))
-    plan = spark.createDataFrame(phases(parts, counts, block_rows), PHASE_SCHEMA)
-    placed = rows.join(F.broadcast(pieces), ["name", "part"]).withColumn("n", F.col("nth") + F.col("before")).withColumn("block", F.floor(F.col("n") / block_rows).cast("long"))
+    level = rows.groupBy("name").agg(F.count("*").alias("rows"))
+    if weights is None:
+        level = level.withColumn("share", F.pow("rows", F.lit(TEMPERATURE)))
+    else:
+        given = spark.createDataFrame([(s, float(x)) for s, x in weights.items()], "name string, share double")
+        level = level.join(given, "name", "left").fillna(0.0, ["share"])
+    together = level.limit(most + 1).collect()
+    placed = rows.join(F.broadcast(pieces) if len(together) <= most else pieces, ["name", "part"])
+    placed = placed.select("name", *[f"c_{i}" for i in range(len(docs.columns))], (F.col("nth") + F.col("before")).alias("n"))
+    depth = 0
+    while len(together) > most:
+        placed, level = _grouped(placed, level, depth, fan, block_rows)
+        depth += 1
+        together = level.limit(most + 1).collect()
+    shares, counts = {r["name"]: r["share"] for r in together}, {r["name"]: r["rows"] for r in together}
+    plan = spark.createDataFrame(phases(weight_parts(shares), counts, block_rows), PHASE_SCHEMA)
+    placed = placed.withColumn("block", F.floor(F.col("n") / block_rows).cast("long"))
     first = F.col("first_block")
     met = placed.join(F.broadcast(plan), (placed["name"] == plan["name"]) & (F.col("block") >= first) & (F.col("block") < first + F.col("blocks")))
-    j = F.col("block") - first
-    turn = F.get(F.col("slots"), (j % F.col("weight")).cast("int"))
-    slot = F.col("base_slot") + F.floor(j / F.col("weight")).cast("long") * F.col("period") + turn
+    slot, position = _slots(block_rows)
     return met.select(
         *[F.col(f"c_{i}") for i in range(len(docs.columns))],
         F.col("phase").alias("mix_phase"),
         F.col("block").alias("mix_block"),
         slot.alias("mix_slot"),
-        (slot * block_rows - F.col("lacking") + F.col("n") % block_rows).alias("mix_position"),
+        position.alias("mix_position"),
     )
 
 
 MIX_COLUMNS = ("mix_phase", "mix_block", "mix_slot", "mix_position")
 
 
-def interleaved(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, tie: Column | None = None) -> DataFrame:
+def interleaved(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, tie: Column | None = None, most: int = MOST_TOGETHER, fan: int = FAN) -> DataFrame:
     """``docs`` with (mix_phase, mix_block, mix_slot, mix_position), which replace columns of these names; position counts from 0 over all rows."""
-    placed = _placed(docs, source, key, weights, block_rows, tie)
+    placed = _placed(docs, source, key, weights, block_rows, tie, most, fan)
     return placed.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in MIX_COLUMNS], *MIX_COLUMNS)
 
 

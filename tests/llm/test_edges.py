@@ -135,6 +135,29 @@ def test_weights_and_periods():
         mixing.weight_parts({"a": -1.0})
 
 
+def test_exact_weights_are_kept():
+    assert mixing.weight_parts({"a": 1, "b": 1, "c": 1}) == {"a": 1, "b": 1, "c": 1}
+    assert mixing.weight_parts({"a": 0.5, "b": 0.3, "c": 0.2}) == {"a": 5, "b": 3, "c": 2}
+    odd_ones = mixing.weight_parts({"a": math.sqrt(2), "b": 1.0, "c": 0.0})
+    assert sum(odd_ones.values()) == mixing.PARTS and odd_ones["c"] == 1
+
+
+def test_many_sources_are_scheduled_in_groups(spark):
+    sizes = {f"s{i:02}": 40 + 3 * (i % 5) for i in range(30)} | {"hot": 900}
+    rows = [(n, s) for s, size in sizes.items() for n in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {s: 3.0 if s == "hot" else 1.0 for s in sizes}
+    got = mixing.interleaved(docs, weights=weights, block_rows=4, most=3, fan=4).toPandas()
+    assert sorted(got["mix_position"]) == list(range(len(rows)))
+    assert sorted(zip(got["doc_id"], got["source"], strict=True)) == sorted(rows)
+    # 31 sources, groups of at most 4, groups of those: three levels, or one more where files end early.
+    order = got.sort_values("mix_position")["source"].tolist()
+    total, seen = sum(weights.values()), dict.fromkeys(sizes, 0)
+    for n, s in enumerate(order[: 40 * len(sizes) // 3], 1):
+        seen[s] += 1
+        assert abs(seen[s] - n * weights[s] / total) < 4 * 4 + 4
+
+
 def test_images_of_all_kinds():
     grey = np.arange(12, dtype=np.uint8).reshape(3, 4) * 20
     assert (media.decode_image(media.encode_grey(grey)) == grey).all()
