@@ -51,18 +51,31 @@ def decode_words(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_decoded(v) for v in values], columns=["text", "warning"])
 
 
+def _blocks(raw_header: Column) -> Column:
+    """A header cut where a line begins that doesn't continue the one before."""
+    return F.split(with_newlines(F.coalesce(raw_header, F.lit(""))), r"\n(?![ \t])")
+
+
+def _is_field(block: Column) -> Column:
+    return block.rlike(_FIELD) & ~F.startswith(block, F.lit("From "))
+
+
+def field_blocks(raw_header: Column) -> Column:
+    """The fields of a header as they stand there, folded lines included."""
+    return F.filter(_blocks(raw_header), _is_field)
+
+
 def parse_fields(messages: DataFrame) -> DataFrame:
     """(msg_id, ord, name, name_lc, raw_value, normalized_value, kind) of every field in order; kind is field, no_colon or orphan.
 
     Lines without a colon and continuations of nothing become fields named
     UNPARSABLE; mbox separators and blank lines become none.
     """
-    blocks = F.split(with_newlines(F.coalesce("raw_header", F.lit(""))), r"\n(?![ \t])")
-    is_field = lambda b: b.rlike(_FIELD) & ~F.startswith(b, F.lit("From "))
+    blocks = _blocks(F.col("raw_header"))
     # A block that isn't a field falls apart into its lines: what follows it continues nothing.
-    parts = F.flatten(F.transform(blocks, lambda b: F.when(is_field(b), F.array(b)).otherwise(F.split(b, "\n"))))
+    parts = F.flatten(F.transform(blocks, lambda b: F.when(_is_field(b), F.array(b)).otherwise(F.split(b, "\n"))))
     lines = messages.select("msg_id", F.posexplode(F.filter(parts, lambda b: (F.trim(F.translate(b, "\t", "")) != "") & ~F.startswith(b, F.lit("From ")))).alias("ord", "block"))
-    lines = lines.withColumn("colon", F.when(is_field(F.col("block")), F.instr("block", ":")))
+    lines = lines.withColumn("colon", F.when(_is_field(F.col("block")), F.instr("block", ":")))
     # A name holds no colon: the first one ends it.
     raw = F.when(F.col("colon").isNotNull(), F.substr("block", F.col("colon") + 1)).otherwise(F.col("block"))
     name = F.when(F.col("colon").isNotNull(), F.rtrim(F.translate(F.substring_index("block", ":", 1), "\t", " "))).otherwise(F.lit(UNPARSABLE))

@@ -7,8 +7,12 @@ again by other means.
 
 from __future__ import annotations
 
+import base64
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _HOP = r"""
 concat('Received: from h', l_suppkey, '.example.net (r', l_suppkey, '.example.org. [', ip, '])\n\tby mx', l_partkey % 5,
@@ -74,3 +78,55 @@ def dns_tables(spark: SparkSession) -> dict[str, DataFrame]:
     back = suppliers.where("y % 2 = 0").selectExpr("concat('p', x, '-', y, '.example') as name", "ip as value", "false as unavailable")
     listed = suppliers.where("y % 5 = 0").selectExpr("concat(y, '.', x, '.184.93.', if(y % 2 = 0, 'zen.spamhaus.org', 'bl.spamcop.net')) as name")
     return {"dns_txt": txt.unionByName(inner).unionByName(dmarc), "dns_a": a.unionByName(back), "dns_ptr": ptr, "dns_listed": listed}
+
+
+#: A key for tests that anybody can make again: its primes are two Mersenne primes.
+_P, _Q, _E = 2**521 - 1, 2**607 - 1, 65537
+
+
+def public_key() -> str:
+    """The key as a DNS record holds it."""
+
+    def der(tag: int, content: bytes) -> bytes:
+        size = len(content)
+        width = (size.bit_length() + 7) // 8
+        return bytes([tag]) + (bytes([size]) if size < 128 else bytes([0x80 | width]) + size.to_bytes(width, "big")) + content
+
+    number = lambda n: der(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+    bare = der(0x30, number(_P * _Q) + number(_E))
+    rsa = der(0x30, bytes.fromhex("06092a864886f70d0101010500"))
+    return base64.b64encode(der(0x30, rsa + der(3, b"\0" + bare))).decode()
+
+
+@F.pandas_udf(T.StringType())
+def _raised(digests: pd.Series) -> pd.Series:
+    """Signatures of SHA-256 digests in hex."""
+    n, d = _P * _Q, pow(_E, -1, (_P - 1) * (_Q - 1))
+    size = (n.bit_length() + 7) // 8
+    start = "0001" + "ff" * (size - 54) + "00" + "3031300d060960864801650304020105000420"
+    return digests.map(lambda h: base64.b64encode(pow(int(start + h, 16), d, n).to_bytes(size, "big")).decode())
+
+
+def signed_messages(orders: DataFrame) -> DataFrame:
+    """(msg_id, raw_header, body): one signed message for each order; what is wrong with it follows from o_orderkey % 7.
+
+    1 another subject, 2 another body, 3 an unknown key, 4 no signature, 5 missing tags, 6 Ed25519; every third has no
+    body. The canonical forms are written out here, they are not computed from the messages.
+    """
+    rows = orders.selectExpr("o_orderkey as k", "o_orderkey % 7 as kind", "o_custkey % 2 = 0 as rh", "o_custkey % 4 < 2 as rb")
+    rows = rows.selectExpr(
+        "*",
+        "base64(unhex(sha2(if(rb, concat('Hello ', k, '\r\n'), concat('Hello  ', k, ' \r\n')), 256))) as bh",
+        "concat('v=1; a=', if(kind = 6, 'ed25519', 'rsa'), '-sha256; c=', if(rh, 'relaxed', 'simple'), '/', if(rb, 'relaxed', 'simple'), '; d=s.example;') as t1",
+        "concat('s=', if(kind = 3, 'k2', 'k1'), '; h=From:Subject:To; bh=') as t2",
+    )
+    relaxed = r"concat('from:Signer <u', k, '@s.example>\r\nsubject:order ', k, '\r\ndkim-signature:', t1, ' ', t2, bh, '; b=')"
+    simple = r"concat('From:  Signer\r\n\t<u', k, '@s.example>\r\nSubject : order   ', k, '\r\nDKIM-Signature: ', t1, '\r\n ', t2, bh, ';\r\n b=')"
+    rows = rows.withColumn("b", _raised(F.sha2(F.expr(f"if(rh, {relaxed}, {simple})"), 256)))
+    signature = r"case kind when 4 then null when 5 then 'DKIM-Signature: v=1; d=s.example; s=k1;\n b=ab cd' else concat('DKIM-Signature: ', t1, '\n ', t2, bh, ';\n b=', substring(b, 1, 60), '\n\t', substring(b, 61)) end"
+    head = rf"concat_ws('\n', {signature}, concat('From:  Signer\n\t<u', k, '@s.example>'), concat('Subject : order   ', k, if(kind = 1, '!', '')), 'X-Other: unsigned')"
+    return rows.selectExpr("cast(k as string) as msg_id", f"{head} as raw_header", r"if(k % 3 = 0, null, concat('Hello  ', k, ' \n', if(kind = 2, 'more', '\n\n'))) as body")
+
+
+def signing_keys(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("k1._domainkey.s.example", 0, f"v=DKIM1; p={public_key()}", False)], "name string, seq int, value string, unavailable boolean")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from headerloom.config import EngineConfig
 from headerloom.functions import net
-from headerloom.operators import auth, headers, identity, intel, ioc, route, rules, vendor, verify
-from headerloom.plans.generator import dns_tables, order_messages
+from headerloom.operators import auth, dkim, headers, identity, intel, ioc, route, rules, vendor, verify
+from headerloom.plans.generator import dns_tables, order_messages, signed_messages, signing_keys
 from headerloom.plans.pipeline import analyze, markdown, reports
 
 CONFIG = EngineConfig(trusted_domains=("corp.example",), protected_domains=("nation_7.example", "nation_12.example", "nation_21.example"))
@@ -208,6 +208,10 @@ def dmarc_verify(spark, sf):
     return verify.verify_dmarc(rows.join(verify.dmarc_records(rows.select("msg_id", "domain"), dns["dns_txt"]), "msg_id")).select("msg_id", "policy", "outcome")
 
 
+def dkim_verify(spark, sf):
+    return dkim.verify_dkim(signed_messages(_table(spark, sf, "orders")), signing_keys(spark)).select("msg_id", "domain", "selector", "scope", "outcome")
+
+
 def _supplier_ips(spark, sf):
     return _hops(spark, sf).select(F.col("primary_ip").alias("ip"))
 
@@ -284,6 +288,6 @@ QUERIES = {
     for f in (
         route_transit, route_hops, route_tls, route_delays, route_trust_boundary, route_internal_to_public, header_fields, header_duplicates, header_unparsable, auth_evidence, auth_trust, auth_alignment, auth_spoofed_name, auth_arc_latest,
         dkim_domains, identity_compare, vendor_decode, ioc_dedupe, ioc_all_kinds, ioc_email, ioc_url, ioc_domain, ioc_defang, ip_extract, ip_classify, dnsbl_name, url_host, domain_normalize, domain_org, domain_compare, domain_skeleton,
-        domain_lookalike, spf_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
+        domain_lookalike, spf_verify, dkim_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
     )
 }
