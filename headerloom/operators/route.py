@@ -38,7 +38,7 @@ def parse_timestamp(text: Column) -> tuple[Column, Column]:
 
 
 def parse_received(fields: DataFrame) -> DataFrame:
-    """One row for each Received field: (msg_id, hop_idx from the newest, from_host, from_rdns, by_host, protocol, tls_info, queue_id, for_recipient, ip_addresses, primary_ip, timestamp_utc, original_offset, used_tls)."""
+    """One row for each Received field: (msg_id, hop_idx from the newest, from_host, from_rdns, by_host, protocol, tls_info, queue_id, for_recipient, ip_addresses, primary_ip, timestamp_utc, original_offset, has_from, has_by, used_tls)."""
     # Texts are taken apart where the fields are read; the window that numbers hops comes last and moves only what was found.
     rows = fields.where(F.col("name_lc") == "received").select("msg_id", "ord", F.col("normalized_value").alias("raw"))
     # Without its groups, the last semicolon divides clauses and date; the n-th mark is the n-th group.
@@ -76,6 +76,8 @@ def parse_received(fields: DataFrame) -> DataFrame:
         ips(main_text).alias("from_ips"),
         stamp.alias("timestamp_utc"),
         offset.alias("original_offset"),
+        F.col("c_from").isNotNull().alias("has_from"),
+        F.col("c_by").isNotNull().alias("has_by"),
     )
     rows = rows.withColumn("primary_ip", F.coalesce(F.get("from_ips", F.lit(0)), F.get("ip_addresses", F.lit(0)))).drop("from_ips")
     protocol = F.upper("protocol")

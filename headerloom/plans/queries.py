@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from headerloom.config import EngineConfig
 from headerloom.functions import net
-from headerloom.operators import auth, dkim, headers, identity, intel, ioc, route, rules, vendor, verify
+from headerloom.operators import auth, dkim, headers, identity, intel, ioc, route, rules, vendor, verify, warnings
 from headerloom.plans.generator import dns_tables, order_messages, signed_messages, signing_keys
 from headerloom.plans.pipeline import analyze, markdown, reports
 
@@ -68,6 +68,12 @@ def header_unparsable(spark, sf):
     return _fields(spark, sf).where(F.col("name") == headers.UNPARSABLE).select("msg_id", "kind", "normalized_value")
 
 
+def header_warnings(spark, sf):
+    messages = order_messages(spark, sf)
+    fields = headers.parse_fields(messages)
+    return warnings.message_warnings(messages, fields, route.parse_received(fields)).select("msg_id", "part", "code", "detail")
+
+
 def auth_evidence(spark, sf):
     prop = lambda n: F.try_element_at("props", F.lit(n))
     return auth.evidence(_fields(spark, sf), CONFIG).select("msg_id", "method", "result", "asserted_by", "trust", prop("smtp.mailfrom").alias("mailfrom"), prop("header.d").alias("header_d"), prop("header.from").alias("header_from"), "reason")
@@ -286,7 +292,7 @@ def rfc2047(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        route_transit, route_hops, route_tls, route_delays, route_trust_boundary, route_internal_to_public, header_fields, header_duplicates, header_unparsable, auth_evidence, auth_trust, auth_alignment, auth_spoofed_name, auth_arc_latest,
+        route_transit, route_hops, route_tls, route_delays, route_trust_boundary, route_internal_to_public, header_fields, header_duplicates, header_unparsable, header_warnings, auth_evidence, auth_trust, auth_alignment, auth_spoofed_name, auth_arc_latest,
         dkim_domains, identity_compare, vendor_decode, ioc_dedupe, ioc_all_kinds, ioc_email, ioc_url, ioc_domain, ioc_defang, ip_extract, ip_classify, dnsbl_name, url_host, domain_normalize, domain_org, domain_compare, domain_skeleton,
         domain_lookalike, spf_verify, dkim_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
     )
