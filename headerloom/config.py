@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from headerloom.functions.suffixes import SHORT, Suffixes
+
 
 @dataclass(frozen=True)
 class EngineConfig:
@@ -16,5 +18,7 @@ class EngineConfig:
     enrichment_enabled: bool = True
     max_header_bytes: int = 256 * 1024
     dnsbl_zones: tuple[str, ...] = ("zen.spamhaus.org", "bl.spamcop.net", "b.barracudacentral.org")
+    #: Public suffixes; ``suffixes.from_table`` makes them of a full list.
+    suffixes: Suffixes = SHORT
     #: Lookups of each indicator type for a message.
     lookups: dict[str, int] = field(default_factory=lambda: {"ipv4": 10, "ipv6": 10, "domain": 10, "url": 5, "email": 3})
