@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from headerloom.llm import chat, decontam, langid, licenses, media, mixing, simhash, store, tokens, toxicity
+from headerloom.llm import chat, decontam, langid, lexical, licenses, media, mixing, simhash, store, tokens, toxicity, urls, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_store": store.op10_token_store,
+    "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_url_filter": urls.op12_url_filter,
+    "op13_whitening": whitening.op13_whitening,
 }
 
-ORACLE_SQL = {"op2_licenses": licenses.oracle()}
+ORACLE_SQL = {"op2_licenses": licenses.oracle(), "op11_lexical_search": lexical.oracle(), "op12_url_filter": urls.oracle()}
