@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Balanced parentheses, up to three deep. Possessive repeats are loops, not calls: texts of any length pass.
-GROUP = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
-#: Stands for a group that was taken out.
-MARK = "\u0001"
 #: What Unicode counts as white space.
 SPACES = "\t\n\u000b\u000c\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -18,16 +14,6 @@ def one_line(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"[ \t\r\n]+", " "), F.lit(SPACES))
 
 
-def groups(c: Column) -> Column:
-    """The top-level groups in parentheses, with them."""
-    return F.regexp_extract_all(c, F.lit(GROUP), F.lit(0))
-
-
-def marked(c: Column) -> Column:
-    """The text with each top-level group replaced by MARK."""
-    return F.regexp_replace(c, GROUP, MARK)
-
-
 def found(c: Column, pattern: str, group: int = 1) -> Column:
     """A regular expression's first match, or null."""
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))

@@ -10,74 +10,56 @@ from pyspark.sql import functions as F
 
 from headerloom.config import EngineConfig
 from headerloom.functions.net import classify_ip, ips
-from headerloom.functions.text import GROUP, MARK, found, groups, marked
+from headerloom.functions.scan import received
+from headerloom.functions.text import found
 
-#: Offsets of the zone names that dates use.
-ZONES = {"UT": "+0000", "GMT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
-CLAUSES = ("from", "by", "with", "via", "id", "for")
 LATE_SECONDS = 3600
 
 
-def parse_timestamp(text: Column) -> tuple[Column, Column]:
-    """(UTC time, offset as written) of a date; a date without a zone counts as UTC and has no offset."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, GROUP, " "), r"^\s*[A-Za-z]{3,9},", ""), r"\s+", " "))
-    offset = found(text, r"([+-]\d{4}|\b(?:UTC|UT|GMT|[ECMP][SD]T|Z)\b)")
-    known = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
-    named = F.coalesce(F.try_element_at(known, offset), offset, F.lit("+0000"))
-    clock = found(plain, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}(?::\d{2})?)")
-    # Years of two digits from 69 on are of the last century.
-    short = r"(\d{1,2} [A-Za-z]{3}) (\d{2}) (\d{1,2}:\d{2}(?::\d{2})?)"
-    century = F.when(found(plain, short, 2).cast("int") >= 69, "19").otherwise("20")
-    clock = F.coalesce(clock, F.concat(found(plain, short, 1), F.lit(" "), century, found(plain, short, 2), F.lit(" "), found(plain, short, 3)))
-    # As C writes it: Tue Oct 21 23:28:50 2025.
-    spoken = r"([A-Za-z]{3}) (\d{1,2}) (\d{1,2}:\d{2}(?::\d{2})?)(?: [A-Z]{1,4})? (\d{4})"
-    clock = F.coalesce(clock, F.concat_ws(" ", found(plain, spoken, 2), found(plain, spoken, 1), found(plain, spoken, 4), F.nullif(F.regexp_extract(plain, spoken, 3), F.lit(""))))
-    # Seconds may be left out.
-    clock = F.regexp_replace(clock, r" (\d{1,2}:\d{2})$", " $1:00")
-    return F.try_to_timestamp(F.concat_ws(" ", clock, named), F.lit("d MMM yyyy H:mm:ss Z")), offset
+#: Fixed value: what is shown as the offset of a date.
+OFFSET = r"([+-]\d{4}|\b(?:UT|GMT|[ECMP][SD]T|Z)\b)"
+#: Fixed value: what a host's name looks like.
+HOST = r"[A-Za-z0-9_](?:[A-Za-z0-9_.-]*[A-Za-z0-9_])?"
+
+
+def _host(text: Column) -> Column:
+    """The first word that looks like a host and isn't a number."""
+    return F.get(F.filter(F.regexp_extract_all(text, F.lit(HOST), F.lit(0)), lambda x: ~x.rlike(r"^\d+$")), F.lit(0))
 
 
 def parse_received(fields: DataFrame) -> DataFrame:
-    """One row for each Received field: (msg_id, hop_idx from the newest, from_host, from_rdns, by_host, protocol, tls_info, queue_id, for_recipient, ip_addresses, primary_ip, timestamp_utc, original_offset, has_from, has_by, used_tls)."""
+    """One row for each Received field: (msg_id, hop_idx from the newest, from_host, from_rdns, by_host, protocol, via, tls_info, queue_id, for_recipient, ip_addresses, primary_ip, timestamp_utc, original_offset, has_zone, date_text, has_from, has_by, used_tls)."""
     # Texts are taken apart where the fields are read; the window that numbers hops comes last and moves only what was found.
     rows = fields.where(F.col("name_lc") == "received").select("msg_id", "ord", F.col("normalized_value").alias("raw"))
-    # Without its groups, the last semicolon divides clauses and date; the n-th mark is the n-th group.
-    rows = rows.withColumns({"groups": groups(F.col("raw")), "flat": marked(F.col("raw"))})
-    dated = F.contains("flat", F.lit(";"))
-    date = F.when(dated, F.nullif(F.substring_index("flat", ";", -1), F.lit("")))
-    main = F.when(dated, F.left("flat", F.length("flat") - F.length(F.substring_index("flat", ";", -1)) - 1)).otherwise(F.col("flat"))
-    # Cut before each keyword; the first piece that begins with it is its clause.
-    rows = rows.withColumns({"date": date, "pieces": F.split(main, rf"(?i)\s+(?=(?:{'|'.join(CLAUSES)})(?:\s|$))")})
-    rows = rows.withColumn("words", F.transform("pieces", lambda p: F.lower(F.substring_index(p, " ", 1))))
-    rows = rows.withColumns({f"p_{w}": F.array_position("words", w).cast("int") for w in CLAUSES if w != "via"})
-    rows = rows.withColumns({f"c_{w}": F.nullif(F.substr(F.get("pieces", F.col(f"p_{w}") - 1), F.lit(len(w) + 2)), F.lit("")) for w in CLAUSES if w != "via"})
-    host = lambda c: found(F.regexp_replace(c, MARK, " "), r"(?:^|\s)((?!\d+\.?(?:\s|$))[A-Za-z0-9_](?:[A-Za-z0-9_.-]*[A-Za-z0-9_])?)\.?(?=[\s;,]|$)")
-    marks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(MARK), F.lit("")))
-    before = lambda word: marks(F.array_join(F.slice("pieces", F.lit(1), F.col(f"p_{word}") - 1), " "))
-    group_of = lambda word: F.when(F.contains(F.col(f"c_{word}"), F.lit(MARK)), F.try_element_at("groups", before(word) + 1))
-    parts = F.struct("date", *[f"c_{w}" for w in CLAUSES if w != "via"], group_of("from").alias("from_group"), group_of("with").alias("with_group"))
     # Through a generator, filters on what follows can't repeat the work above.
-    rows = rows.select("msg_id", "ord", "raw", F.inline(F.array(parts)))
-    inside = F.regexp_replace(F.regexp_replace("from_group", r"^\(|\)$", ""), r"\[[^\]]*\]|(?i)helo=\S+", " ")
-    main_text = F.concat_ws(" ", F.col("c_from"), F.col("from_group"))
-    stamp, offset = parse_timestamp(F.col("date"))
+    rows = rows.select("msg_id", "ord", "raw", F.inline(F.array(received("raw"))))
+    word = lambda c: F.nullif(F.regexp_extract(c, r"^\s*+(\S++)", 1), F.lit(""))
+    before = lambda c: F.split_part(c, F.lit("("), F.lit(1))
+    # The first parenthesis, up to the first that closes.
+    inside = lambda c: found(c, r"\(([^)]*+)\)")
+    observed = F.regexp_replace(F.regexp_replace(inside(F.col("from")), r"\[[^\]]*+\]", " "), r"(?i)\bhelo\s*+=?\s*+", " ")
+    tls = F.when(inside(F.col("with")).rlike(r"(?i)tls|cipher|version="), F.trim(inside(F.col("with")))).when(F.col("with").rlike(r"(?i)tls|cipher"), F.col("with"))
+    at_end = F.when(F.col("date").isNotNull(), F.regexp_replace("raw", r";[^;]*+$", "")).otherwise(F.col("raw"))
     rows = rows.select(
         "msg_id",
         "ord",
         "raw",
-        host(F.split_part(F.col("c_from"), F.lit(MARK), F.lit(1))).alias("from_host"),
-        host(inside).alias("from_rdns"),
-        host(F.col("c_by")).alias("by_host"),
-        found(F.regexp_replace("c_with", MARK, " "), r"^\s*(\S+)").alias("protocol"),
-        F.when(F.col("with_group").rlike(r"(?i)tls|cipher|version="), F.regexp_replace("with_group", r"^\(|\)$", "")).alias("tls_info"),
-        found(F.col("c_id"), r"^\s*([^\s" + MARK + r"]+)").alias("queue_id"),
-        found(F.col("c_for"), r"^\s*([^\s" + MARK + r"]+)").alias("for_recipient"),
-        ips(F.regexp_replace("raw", r";[^;]*$", "")).alias("ip_addresses"),
-        ips(main_text).alias("from_ips"),
-        stamp.alias("timestamp_utc"),
-        offset.alias("original_offset"),
-        F.col("c_from").isNotNull().alias("has_from"),
-        F.col("c_by").isNotNull().alias("has_by"),
+        _host(before(F.col("from"))).alias("from_host"),
+        _host(observed).alias("from_rdns"),
+        _host(F.col("by")).alias("by_host"),
+        word(before(F.col("with"))).alias("protocol"),
+        F.nullif(F.col("via"), F.lit("")).alias("via"),
+        tls.alias("tls_info"),
+        word(F.col("id")).alias("queue_id"),
+        word(F.col("for")).alias("for_recipient"),
+        ips(at_end).alias("ip_addresses"),
+        ips(F.col("from")).alias("from_ips"),
+        F.col("at").alias("timestamp_utc"),
+        found(F.col("date"), OFFSET).alias("original_offset"),
+        F.col("zone").alias("has_zone"),
+        F.col("date").alias("date_text"),
+        F.col("from").isNotNull().alias("has_from"),
+        F.col("by").isNotNull().alias("has_by"),
     )
     rows = rows.withColumn("primary_ip", F.coalesce(F.get("from_ips", F.lit(0)), F.get("ip_addresses", F.lit(0)))).drop("from_ips")
     protocol = F.upper("protocol")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from headerloom.config import EngineConfig
 from headerloom.functions import net
-from headerloom.operators import auth, dkim, headers, identity, intel, ioc, route, rules, vendor, verify, warnings
+from headerloom.operators import auth, dkim, headers, identity, intel, ioc, route, rules, spf, vendor, verify, warnings
 from headerloom.plans.generator import dns_tables, order_messages, signed_messages, signing_keys
 from headerloom.plans.pipeline import analyze, markdown, reports
 
@@ -204,7 +204,7 @@ def spf_verify(spark, sf):
     dns = dns_tables(spark)
     ip = F.element_at(F.array(F.concat(F.lit("93.184."), F.col("o_custkey") % 40, F.lit("."), F.col("o_custkey") % 40), F.concat(F.lit("203.0.113."), F.col("o_orderkey") % 256), F.lit("8.8.8.8")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     checks = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("msg_id"), ip.alias("ip"), F.concat(F.lit("c"), F.col("o_custkey") % 40, F.lit(".example")).alias("domain"))
-    return verify.verify_spf(checks, dns["dns_txt"], dns["dns_a"]).select("msg_id", "result", "outcome")
+    return spf.verify_spf(checks, dns["dns_txt"], dns["dns_a"]).select("msg_id", "result", "outcome")
 
 
 def dmarc_verify(spark, sf):

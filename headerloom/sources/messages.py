@@ -9,7 +9,9 @@ from headerloom.config import EngineConfig
 
 DNS_SCHEMAS = {
     "dns_txt": "name string, seq int, value string, unavailable boolean",
+    #: Addresses of both families.
     "dns_a": "name string, value string, unavailable boolean",
+    "dns_mx": "name string, preference int, value string, unavailable boolean",
     "dns_ptr": "ip string, value string, unavailable boolean",
     "dns_listed": "name string",
     "intel": "provider string, ioc_type string, ioc string, status string, malicious boolean, reputation string, suspicious boolean",
