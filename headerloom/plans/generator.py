@@ -49,7 +49,7 @@ def messages(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         "'Subject: order'",
         "if(k % 11 = 0, 'subject: again', null)",
         "if(k % 13 = 0, 'this line has no colon', null)",
-        r"case when k % 17 <> 0 then concat('Authentication-Results: mx.', if(k % 3 = 0, 'elsewhere', 'corp'), '.example;\n\tspf=', case st when 'F' then 'pass' when 'O' then 'fail' else 'softfail' end, ' (checked; here) smtp.mailfrom=b@', fd, ';\n dkim=', element_at(array('pass', 'fail', 'neutral', 'none', 'wat'), pri), ' header.d=', if(pri % 2 = 1, fd, concat('other', k % 5, '.example')), '; dmarc=', if(st = 'F', 'pass', 'none'), ' header.from=', fd) end",
+        r"""case when k % 17 <> 0 then concat('Authentication-Results: mx.', if(k % 3 = 0, 'elsewhere', 'corp'), '.example;\n\tspf=', case st when 'F' then 'pass' when 'O' then 'fail' else 'softfail' end, ' (checked; ', if(k % 29 = 0, '((((deep; dkim=pass)) \\) "))', 'here'), ') smtp.mailfrom=', if(k % 23 = 0, '"x; dmarc=pass y"', 'b'), '@', fd, ';\n dkim=', element_at(array('pass', 'fail', 'neutral', 'none', 'wat'), pri), if(k % 19 = 0, ' reason="odd; spf=pass \\"here\\""', ''), ' header.d=', if(pri % 2 = 1, fd, concat('other', k % 5, '.example')), '; dmarc=', if(st = 'F', 'pass', 'none'), ' header.from=', fd) end""",
         "if(k % 3 >= 1, 'ARC-Seal: i=1; a=rsa-sha256; cv=none; d=arc.example', null)",
         "if(k % 3 = 2, concat('ARC-Seal: i=2; cv=', if(k % 2 = 0, 'pass', 'fail'), '; d=arc.example'), null)",
         "concat('DKIM-Signature: v=1; d=', if(pri % 2 = 1, fd, concat('other', k % 5, '.example')), '; s=s1;\n b=ab cd')",
@@ -130,3 +130,35 @@ def signed_messages(orders: DataFrame) -> DataFrame:
 
 def signing_keys(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("k1._domainkey.s.example", 0, f"v=DKIM1; p={public_key()}", False)], "name string, seq int, value string, unavailable boolean")
+
+
+def spf_checks(orders: DataFrame) -> DataFrame:
+    """(msg_id, ip, domain, sender, helo): a check for each order; the domain, and with it what is tested, follows from o_orderkey % 12."""
+    ip = "if(o_orderkey % 12 = 4, concat('2001:db8:', o_orderkey % 3, '::', o_orderkey % 250), concat('93.184.', o_custkey % 100, '.', o_orderkey % 250))"
+    return orders.selectExpr("o_orderkey as msg_id", f"{ip} as ip", "concat('k', o_orderkey % 12, '.example') as domain", "concat('u', o_orderkey % 2, '@k', o_orderkey % 12, '.example') as sender", "'greeting.example' as helo")
+
+
+def spf_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """DNS tables for ``spf_checks``: chains of ten and eleven includes, a cycle, macros, IPv6, reverse names, names that find nothing, redirections, errors, mail hosts."""
+    chain = lambda start, n: [(f"{start}.example", f"v=spf1 include:{start}-1.example -all"), *((f"{start}-{i}.example", f"v=spf1 include:{start}-{i + 1}.example -all" if i < n else "v=spf1 +all") for i in range(1, n + 1))]
+    records = [
+        *chain("k0", 10), *chain("k1", 11), ("k2.example", "v=spf1 include:k2.example -all"), ("k3.example", "v=spf1 exists:%{ir}.%{v}.%{d1r}-%{l}.listed.example -all"), ("k4.example", "v=spf1 ip4:93.184.0.0/16 ip6:2001:db8:1::/48 ~all"),
+        ("k5.example", "v=spf1 ptr:named.example -all"), ("k6.example", "v=spf1 a:nowhere1.example a:nowhere2.example a:nowhere3.example +all"), ("k7.example", "v=spf1 redirect=_%{d}"), ("_k7.example", "v=spf1 ip4:93.184.0.0/17 ?all"),
+        ("k8.example", "v=spf1" + " include:k8.example" * 10 + " -all"), ("k9.example", "v=spf1 +all ip4:300.1.1.1"), ("k10.example", "v=spf1 a:host.k10.example/24//64 -all"), ("k11.example", "v=spf1 mx:k11.example/24 ~all"),
+    ]
+    txt = spark.createDataFrame([(n, 0, v, False) for n, v in records], "name string, seq int, value string, unavailable boolean")
+    ips = spark.range(25_000).selectExpr("id % 100 as x", "id div 100 as y")
+    listed = ips.where("y % 2 = 0").selectExpr("concat(y, '.', x, '.184.93.in-addr.example-u1.listed.example') as name", "'127.0.0.2' as value", "false as unavailable")
+    named = ips.selectExpr("concat('93.184.', x, '.', y) as ip", "concat('h', x, '-', y, if(x % 2 = 0, '.named.example', '.other.example')) as value", "false as unavailable")
+    back = ips.where("y % 3 = 0").selectExpr("concat('h', x, '-', y, '.named.example') as name", "concat('93.184.', x, '.', y) as value", "false as unavailable")
+    hosts = spark.createDataFrame([("host.k10.example", "93.184.5.200", False), ("in.k11.example", "93.184.7.1", False), ("in2.k11.example", "93.184.9.1", False)], "name string, value string, unavailable boolean")
+    mx = spark.createDataFrame([("k11.example", 10, "in.k11.example", False), ("k11.example", 20, "in2.k11.example", False)], "name string, preference int, value string, unavailable boolean")
+    return {"dns_txt": txt, "dns_a": listed.unionByName(back).unionByName(hosts), "dns_ptr": named, "dns_mx": mx}
+
+
+#: Rules for tests, of each kind; the names under them are made of pages' hosts.
+SUFFIX_RULES = ("com", "net", "org", "uk", "co.uk", "ar", "com.ar", "*.ck", "!www.ck", "jp", "*.kobe.jp")
+
+
+def suffix_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([*((r, False) for r in SUFFIX_RULES), ("example.net", True)], "rule string, private boolean")

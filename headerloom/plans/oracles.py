@@ -6,6 +6,8 @@ of; no text is parsed here.
 
 from __future__ import annotations
 
+from headerloom.plans.generator import SUFFIX_RULES
+
 _HOPS = """
 WITH h AS (
   SELECT l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_shipdate, l_quantity, l_extendedprice) - 1 AS hop,
@@ -73,6 +75,24 @@ g AS (SELECT msg_id, f.id AS rule_id, f.c AS category, f.s AS s, f.w AS w FROM f
 _CAPS = "CASE category WHEN 'authentication' THEN 45 WHEN 'sender_identity' THEN 30 WHEN 'domain_alignment' THEN 25 WHEN 'mail_route' THEN 20 WHEN 'header_anomalies' THEN 15 WHEN 'possible_bec' THEN 30 END"
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
+
+def _registered(names: str) -> str:
+    """o_<names>: the registrable name of each host, from the rules in ``rules``: the longest that fits, an exception before all others."""
+    return f"""
+l_{names} AS (SELECT *, string_split(host, '.') AS x FROM {names}),
+c_{names} AS (SELECT host, len(x) - i + 1 AS n, array_to_string(x[i:], '.') AS s, array_to_string(x[i + 1:], '.') AS above FROM (SELECT host, x, unnest(range(1, len(x) + 1)) AS i FROM l_{names})),
+s_{names} AS (SELECT host, coalesce(max(n - 1) FILTER (WHERE '!' || s IN (FROM rules)), max(n) FILTER (WHERE s IN (FROM rules) OR '*.' || above IN (FROM rules))) AS n FROM c_{names} GROUP BY host),
+o_{names} AS (SELECT l_{names}.*, n IS NOT NULL AS known, array_to_string(CASE WHEN n IS NULL OR n >= len(x) THEN x[-2:] ELSE x[-(n + 1):] END, '.') AS org FROM l_{names} JOIN s_{names} USING (host))"""
+
+
+def _suffixed(rules: tuple) -> str:
+    values = ", ".join(f"('{r}')" for r in rules)
+    ends = "list_extract(['', '.co.uk', '.com.ar', '.www.ck', '.ck', '.x.kobe.jp', '.unknown'], CAST(page_id % 7 + 1 AS INT))"
+    return f"WITH rules AS (SELECT * FROM (VALUES {values}) r(rule)), p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || {ends} AS host FROM pages), h AS (SELECT DISTINCT host FROM p), {_registered('h')}, o AS (SELECT page_id, o_h.* FROM p JOIN o_h USING (host))"
+
+
+_SUFFIXED, _SUFFIXED_PRIVATE = _suffixed(SUFFIX_RULES), _suffixed((*SUFFIX_RULES, "example.net"))
+
 _IPS = """
 WITH n AS (SELECT o_orderkey, CAST(o_orderkey::HUGEINT * 2654435761 % 4294967296 AS BIGINT) AS v FROM orders),
 ips AS (
@@ -91,7 +111,7 @@ ORACLE_SQL: dict[str, str] = {
     "header_fields": f"{_HOPS}, {_MAIL.strip()}, r AS (SELECT l_orderkey, count(*) AS n FROM h GROUP BY 1) SELECT msg_id, coalesce(n, 0) + 6 + (k % 5 < 2)::INT + (k % 11 = 0)::INT + (k % 13 = 0)::INT + (k % 17 <> 0)::INT + k % 3 AS n_fields, coalesce(n, 0) AS n_received, CASE k % 3 WHEN 0 THEN '\"Customer, No. ' || cust || '\" <u' || cust || '@' || fd || '>' WHEN 1 THEN 'u' || cust || '@' || fd ELSE 'Customer ' || cust || ' <u' || cust || '@' || upper(fd) || '>' END AS from_value, 'v=1; d=' || d || '; s=s1; b=ab cd' AS signature FROM m LEFT JOIN r ON l_orderkey = k",
     "header_duplicates": f"{_M} SELECT msg_id, 'subject' AS name_lc, CAST(2 AS BIGINT) AS n FROM m WHERE k % 11 = 0",
     "header_unparsable": f"{_M} SELECT msg_id, 'no_colon' AS kind, 'this line has no colon' AS normalized_value FROM m WHERE k % 13 = 0",
-    "auth_evidence": f"{_M}, e AS (SELECT *, unnest(['spf', 'dkim', 'dmarc']) AS method FROM m WHERE k % 17 <> 0) SELECT msg_id, method, CASE method WHEN 'spf' THEN spf WHEN 'dkim' THEN dkim ELSE dmarc END AS result, CASE WHEN elsewhere THEN 'mx.elsewhere.example' ELSE 'mx.corp.example' END AS asserted_by, CASE WHEN elsewhere THEN 'untrusted' ELSE 'trusted' END AS trust, CASE method WHEN 'spf' THEN 'b@' || fd END AS mailfrom, CASE method WHEN 'dkim' THEN d END AS header_d, CASE method WHEN 'dmarc' THEN fd END AS header_from, CASE method WHEN 'spf' THEN 'checked; here' END AS reason FROM e",
+    "auth_evidence": f"""{_M}, e AS (SELECT *, unnest(['spf', 'dkim', 'dmarc']) AS method FROM m WHERE k % 17 <> 0) SELECT msg_id, method, CASE method WHEN 'spf' THEN spf WHEN 'dkim' THEN dkim ELSE dmarc END AS result, CASE WHEN elsewhere THEN 'mx.elsewhere.example' ELSE 'mx.corp.example' END AS asserted_by, CASE WHEN elsewhere THEN 'untrusted' ELSE 'trusted' END AS trust, CASE method WHEN 'spf' THEN CASE WHEN k % 23 = 0 THEN '"x; dmarc=pass y"' ELSE 'b' END || '@' || fd END AS mailfrom, CASE method WHEN 'dkim' THEN d END AS header_d, CASE method WHEN 'dmarc' THEN fd END AS header_from, CASE method WHEN 'spf' THEN CASE WHEN k % 29 = 0 THEN 'checked; ((((deep; dkim=pass)) \\) "))' ELSE 'checked; here' END WHEN 'dkim' THEN CASE WHEN k % 19 = 0 THEN 'odd; spf=pass "here"' END END AS reason FROM e""",
     "auth_trust": f"{_M}, e AS (SELECT *, unnest(['spf', 'dkim', 'dmarc']) AS method FROM m WHERE k % 17 <> 0) SELECT CASE WHEN elsewhere THEN 'untrusted' ELSE 'trusted' END AS trust, method, CASE method WHEN 'spf' THEN spf WHEN 'dkim' THEN dkim ELSE dmarc END AS result, count(*) AS n FROM e GROUP BY ALL",
     "auth_alignment": f"{_M} SELECT msg_id, fd AS from_domain, {_ENVELOPE} AS envelope_domain, {_compare(_ENVELOPE, 'fd')} AS spf_alignment, {_compare('d', 'fd')} AS dkim_alignment, d AS dkim_domains FROM m",
     "auth_arc_latest": f"{_M} SELECT msg_id, k % 3 AS n_seals, CAST(k % 3 AS INT) AS newest, CASE WHEN k % 3 = 1 THEN 'none' WHEN k % 2 = 0 THEN 'pass' ELSE 'fail' END AS cv FROM m WHERE k % 3 > 0",
@@ -108,8 +128,11 @@ SELECT msg_id, code, value, CASE code WHEN 'CIP' THEN '' WHEN 'SCL' THEN CASE va
     "dnsbl_name": f"{_IPS} SELECT o_orderkey, ip, (v % 256) || '.' || (v // 256 % 256) || '.' || (v // 65536 % 256) || '.' || (v // 16777216) || '.zen.spamhaus.org' AS name FROM t",
     "url_host": f"SELECT page_id, lower({_HOST}) AS host FROM pages",
     "domain_normalize": f"SELECT page_id, lower({_HOST}) AS domain FROM pages",
-    "domain_org": f"WITH h AS (SELECT page_id, {_HOST} || CASE WHEN page_id % 5 = 0 THEN '.co.uk' ELSE '' END AS host FROM pages) SELECT page_id, host, CASE WHEN ends_with(host, '.co.uk') THEN regexp_extract(host, '[^.]+\\.co\\.uk$') ELSE regexp_extract(host, '[^.]+\\.[^.]+$') END AS org FROM h",
-    "domain_compare": f"WITH h AS (SELECT page_id, {_HOST} AS a FROM pages), b AS (SELECT *, CASE page_id % 4 WHEN 0 THEN a WHEN 1 THEN 'x.' || a WHEN 2 THEN 'y.' || regexp_extract(a, '[^.]+\\.[^.]+$') ELSE 'other.example' END AS b FROM h) SELECT page_id, a, b, {_compare('a', 'b')} AS result FROM b",
+    "domain_org": f"{_SUFFIXED} SELECT page_id, host, org, known, len(x) - len(string_split(org, '.')) AS depth FROM o",
+    "domain_compare": f"""{_SUFFIXED_PRIVATE},
+b AS (SELECT page_id, host AS a, CASE page_id % 6 WHEN 0 THEN host WHEN 1 THEN 'x.' || host WHEN 2 THEN 'y.' || array_to_string(x[-2:], '.') WHEN 3 THEN 'y.' || array_to_string(x[-3:], '.') WHEN 4 THEN array_to_string(x[-2:], '.') ELSE 'other.example' END AS b FROM o),
+n AS (SELECT DISTINCT host FROM (SELECT a AS host FROM b UNION SELECT b FROM b)), {_registered("n")}
+SELECT page_id, a, b, CASE WHEN a = b THEN 'exact' WHEN l.org <> r.org THEN 'mismatch' WHEN ends_with(a, '.' || b) OR ends_with(b, '.' || a) THEN 'subdomain' ELSE 'organizational' END AS result FROM b JOIN o_n l ON l.host = a JOIN o_n r ON r.host = b""",
     "domain_skeleton": "WITH n AS (SELECT n_nationkey, lower(replace(n_name, ' ', '')) AS x FROM nation), f AS (SELECT n_nationkey, unnest(range(5)) AS form, unnest([x, x[1] || x, x || '-pay', translate(x, 'ols', '015'), 'x' || x || 'yz']) AS label FROM n) SELECT n_nationkey, form, translate(label || '.example', '015', 'ols') AS skeleton FROM f",
     "domain_lookalike": """WITH n AS (SELECT lower(replace(n_name, ' ', '')) AS x FROM nation), f AS (SELECT DISTINCT unnest([x, x[1] || x, x || '-pay', translate(x, 'ols', '015'), 'x' || x || 'yz']) AS raw FROM n),
 w AS (SELECT unnest([1, 2, 3]) AS o, unnest(['nation_7', 'nation_12', 'nation_21']) AS t), s AS (SELECT raw, translate(raw, '015', 'ols') AS a, o, t, translate(t, '015', 'ols') AS b FROM f, w WHERE raw <> t),
@@ -123,6 +146,9 @@ SELECT raw || '.example' AS domain, arg_min(t, o) || '.example' AS matched, arg_
     "spf_verify": """WITH c AS (SELECT o_orderkey AS msg_id, o_custkey % 40 AS n, o_orderkey % 3 AS i, o_orderkey % 256 AS x FROM orders),
 r AS (SELECT msg_id, CASE WHEN n % 10 = 4 AND n % 4 <> 3 THEN 'temperror' WHEN n % 4 = 3 THEN 'none' WHEN n % 4 = 0 THEN CASE WHEN i = 0 THEN 'pass' ELSE 'fail' END WHEN n % 4 = 1 THEN CASE WHEN i = 1 AND x >= 128 THEN 'pass' ELSE 'softfail' END ELSE CASE WHEN i = 0 THEN 'pass' ELSE 'neutral' END END AS result FROM c)
 SELECT msg_id, result, CASE result WHEN 'pass' THEN 'verified_pass' WHEN 'temperror' THEN 'error' WHEN 'none' THEN 'not_possible' WHEN 'neutral' THEN 'not_possible' ELSE 'verified_fail' END AS outcome FROM r""",
+    "spf_budget": """WITH c AS (SELECT o_orderkey AS msg_id, o_orderkey % 12 AS kind, o_custkey % 100 AS x, o_orderkey % 250 AS y, o_orderkey % 3 AS z, o_orderkey % 2 AS u FROM orders)
+SELECT msg_id, CASE WHEN kind = 0 THEN 'pass' WHEN kind IN (1, 2, 6, 8, 9) THEN 'permerror' WHEN kind = 3 THEN CASE WHEN y % 2 = 0 AND u = 1 THEN 'pass' ELSE 'fail' END WHEN kind = 4 THEN CASE WHEN z = 1 THEN 'pass' ELSE 'softfail' END
+ WHEN kind = 5 THEN CASE WHEN x % 2 = 0 AND y % 3 = 0 THEN 'pass' ELSE 'fail' END WHEN kind = 7 THEN CASE WHEN x < 128 THEN 'pass' ELSE 'neutral' END WHEN kind = 10 THEN CASE WHEN x = 5 THEN 'pass' ELSE 'fail' END ELSE CASE WHEN x IN (7, 9) THEN 'pass' ELSE 'softfail' END END AS result FROM c""",
     "header_warnings": "SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, 'header' AS part, 'duplicate' AS code, 'subject' AS detail FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'field', 'no_colon', 'this line has no colon' FROM orders WHERE o_orderkey % 13 = 0",
     "dkim_verify": "WITH c AS (SELECT o_orderkey AS k, o_orderkey % 7 AS kind, o_orderkey % 3 <> 0 AS body FROM orders) SELECT CAST(k AS VARCHAR) AS msg_id, CASE WHEN kind <> 4 THEN 's.example' END AS domain, CASE WHEN kind = 3 THEN 'k2' WHEN kind <> 4 THEN 'k1' END AS selector, CASE WHEN kind = 4 THEN NULL WHEN body THEN 'fields and body' ELSE 'fields' END AS scope, CASE WHEN kind = 4 THEN 'not_possible' WHEN kind IN (5, 6) THEN 'error' WHEN kind IN (1, 3) OR kind = 2 AND body THEN 'verified_fail' ELSE 'verified_pass' END AS outcome FROM c",
     "dmarc_verify": "WITH c AS (SELECT o_orderkey AS msg_id, o_custkey % 40 AS n, o_orderstatus = 'F' AS spf, o_orderkey % 3 AS al FROM orders), r AS (SELECT *, n % 3 <> 2 AS has, n % 3 <> 2 AND n % 10 = 6 AS failed FROM c) SELECT msg_id, CASE WHEN has AND NOT failed THEN CASE WHEN n % 2 = 0 THEN 'reject' ELSE 'quarantine' END END AS policy, CASE WHEN failed THEN 'error' WHEN NOT has THEN 'not_possible' WHEN spf AND (al = 0 OR al = 1 AND n % 3 <> 1) THEN 'verified_pass' ELSE 'verified_fail' END AS outcome FROM r",

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headerloom.config import EngineConfig
-from headerloom.functions import net
+from headerloom.functions import net, suffixes
 from headerloom.operators import auth, dkim, headers, identity, intel, ioc, route, rules, spf, vendor, verify, warnings
-from headerloom.plans.generator import dns_tables, order_messages, signed_messages, signing_keys
+from headerloom.plans.generator import dns_tables, order_messages, signed_messages, signing_keys, spf_checks, spf_tables, suffix_table
 from headerloom.plans.pipeline import analyze, markdown, reports
 
 CONFIG = EngineConfig(trusted_domains=("corp.example",), protected_domains=("nation_7.example", "nation_12.example", "nation_21.example"))
@@ -154,17 +154,25 @@ def domain_normalize(spark, sf):
     return _table(spark, sf, "pages").select("page_id", net.normalize_domain(messy).alias("domain"))
 
 
-def domain_org(spark, sf):
+def _suffixed(spark, sf):
+    """Pages' hosts under suffixes of every kind of rule, and under unknown ones."""
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
-    host = F.when(F.col("page_id") % 5 == 0, F.concat(host, F.lit(".co.uk"))).otherwise(host)
-    return _table(spark, sf, "pages").select("page_id", host.alias("host"), net.organizational_domain(host).alias("org"))
+    ends = F.array(*[F.lit(e) for e in ("", ".co.uk", ".com.ar", ".www.ck", ".ck", ".x.kobe.jp", ".unknown")])
+    return _table(spark, sf, "pages").select("page_id", F.concat(host, F.element_at(ends, (F.col("page_id") % 7 + 1).cast("int"))).alias("host"))
+
+
+def domain_org(spark, sf):
+    rules = suffixes.from_table(suffix_table(spark))
+    host = F.col("host")
+    return _suffixed(spark, sf).select("page_id", "host", suffixes.organizational_domain(host, rules).alias("org"), suffixes.suffix_is_known(host, rules).alias("known"), suffixes.subdomain_depth(host, rules).cast("long").alias("depth"))
 
 
 def domain_compare(spark, sf):
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
-    rows = _table(spark, sf, "pages").select("page_id", host.alias("a"))
-    other = F.element_at(F.array(F.col("a"), F.concat(F.lit("x."), F.col("a")), F.concat(F.lit("y."), net.organizational_domain(F.col("a"))), F.lit("other.example")), (F.col("page_id") % 4 + 1).cast("int"))
-    return rows.select("page_id", "a", other.alias("b"), net.compare_domains(F.col("a"), other).alias("result"))
+    rules = suffixes.from_table(suffix_table(spark), private=True)
+    rows = _suffixed(spark, sf).select("page_id", F.col("host").alias("a"))
+    last = lambda n: F.substring_index("a", ".", -n)
+    other = F.element_at(F.array(F.col("a"), F.concat(F.lit("x."), F.col("a")), F.concat(F.lit("y."), last(2)), F.concat(F.lit("y."), last(3)), last(2), F.lit("other.example")), (F.col("page_id") % 6 + 1).cast("int"))
+    return rows.select("page_id", "a", other.alias("b"), net.compare_domains(F.col("a"), other, rules).alias("result"))
 
 
 def _names(spark, sf):
@@ -207,6 +215,11 @@ def spf_verify(spark, sf):
     return spf.verify_spf(checks, dns["dns_txt"], dns["dns_a"]).select("msg_id", "result", "outcome")
 
 
+def spf_budget(spark, sf):
+    tables = spf_tables(spark)
+    return spf.verify_spf(spf_checks(_table(spark, sf, "orders")), tables["dns_txt"], tables["dns_a"], tables["dns_ptr"], tables["dns_mx"]).select("msg_id", "result")
+
+
 def dmarc_verify(spark, sf):
     dns = dns_tables(spark)
     domain = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "mail.").otherwise(""), F.lit("c"), F.col("o_custkey") % 40, F.lit(".example"))
@@ -294,6 +307,6 @@ QUERIES = {
     for f in (
         route_transit, route_hops, route_tls, route_delays, route_trust_boundary, route_internal_to_public, header_fields, header_duplicates, header_unparsable, header_warnings, auth_evidence, auth_trust, auth_alignment, auth_spoofed_name, auth_arc_latest,
         dkim_domains, identity_compare, vendor_decode, ioc_dedupe, ioc_all_kinds, ioc_email, ioc_url, ioc_domain, ioc_defang, ip_extract, ip_classify, dnsbl_name, url_host, domain_normalize, domain_org, domain_compare, domain_skeleton,
-        domain_lookalike, spf_verify, dkim_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
+        domain_lookalike, spf_verify, spf_budget, dkim_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
     )
 }
