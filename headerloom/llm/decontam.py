@@ -10,9 +10,9 @@ document; what remains is verified word by word over the item-sized window.
 DataFrame functions only. The documents are tokenised twice: once to count how
 often the benchmark's words occur, once to find the windows.
 
-Prefix words go into the scan as a set of at most ``words_per_pass`` words; a
-larger benchmark is handled in blocks of that many, one pass each, and the
-results of all passes are joined.
+The scan for windows passes over words that are no prefix word by a bitmap of
+word hashes, one row of at most ``MOST_BITS`` bits that no size of the benchmark enlarges; what
+it lets through by chance the join drops. So a benchmark of any size takes one pass.
 
 Edge cases: null or empty texts have no words and are clean; rows that repeat
 an id and a text are one document; an empty benchmark leaves all clean; an
@@ -21,8 +21,6 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +28,8 @@ from headerloom.llm.common import ascii_lower, staged
 
 WINDOW = 10
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORDS_PER_PASS = 20_000
+#: Bits of the bitmap for each prefix word, and of it as a whole.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 24
 
 
 def words_of(text: Column) -> Column:
@@ -61,10 +60,31 @@ def prefix_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     return placed.groupBy("words").agg(F.min_by(F.struct("word", "at", "items"), F.struct("seen", "at")).alias("x")).select("x.word", "x.at", "words", "x.items")
 
 
-def occurrences(docs: DataFrame, index: DataFrame, prefix_words: list[str], window: int = WINDOW) -> DataFrame:
+def bitmap(index: DataFrame) -> tuple[DataFrame, int]:
+    """(bits,) in one row, an array of longs with two bits set for each prefix word's hash, and the number of bits."""
+    words = index.select("word").distinct()
+    size = LEAST_BITS
+    while size < min(MOST_BITS, BITS_EACH * words.count()):
+        size *= 2
+    hash_ = F.xxhash64("word")
+    place = words.select(F.explode(F.array(*[h.bitwiseAND(F.lit(size - 1)) for h in (hash_, F.shiftright(hash_, 32))])).alias("h"))
+    set_ = place.groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+    every = words.sparkSession.range(size >> 6).join(set_, F.col("id") == F.col("at"), "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return staged(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("bits")), "bitmap"), size
+
+
+def occurrences(docs: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, n_words, start, n, items) of each verified occurrence; a document without any has one row of nulls."""
+    bits, size = bitmap(index)
     found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
-    places = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.get(F.col("w"), i - 1).isin(prefix_words))
+    found = found.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h")).join(F.broadcast(bits), F.lit(True))
+
+    def marked(h: Column) -> Column:
+        place = h.bitwiseAND(F.lit(size - 1))
+        return F.getbit(F.get(F.col("bits"), F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    hashed = lambda i: F.get(F.col("h"), i - 1)
+    places = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: marked(hashed(i)) & marked(F.shiftright(hashed(i), 32)))
     # A prefix word at place i can only begin a window from i - window + 1 on and end it before i + window.
     around = F.transform(
         F.when(F.size("w") > 0, places),
@@ -86,18 +106,9 @@ def occurrences(docs: DataFrame, index: DataFrame, prefix_words: list[str], wind
     return met.select("doc_id", "text_key", "n_words", start.alias("start"), F.when(start.isNotNull(), F.size("words")).alias("n"), F.when(start.isNotNull(), F.col("items")).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, text_key, n_words, n_hit (words inside any occurrence) and item_ids (array of strings, sorted)."""
-    index = staged(prefix_index(docs, benchmark, window), "prefixes")
-    words = index.select("word").distinct()
-    passes = max(1, -(-words.count() // words_per_pass))
-    met = []
-    for k in range(passes):
-        # At most about words_per_pass words come here at once, of the benchmark alone.
-        mine = words.where(F.pmod(F.xxhash64("word"), F.lit(passes)) == k)
-        prefix_words = [r.word for r in mine.toLocalIterator()] or [""]
-        met.append(occurrences(docs, index.join(mine, "word", "left_semi") if passes > 1 else index, prefix_words, window))
-    found = reduce(DataFrame.unionByName, met)
+    found = occurrences(docs, staged(prefix_index(docs, benchmark, window), "prefixes"), window)
     # One row per document and start, with the longest window there; the rows of clean places fall together first.
     starts = found.groupBy("doc_id", "text_key", "start").agg(F.max("n_words").alias("n_words"), F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     spans = F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", (F.col("start") + F.col("n")).alias("end")))))
