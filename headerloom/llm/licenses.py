@@ -8,9 +8,11 @@ rule has matched is taken out before the next one. Pieces are joined up to the
 words of the longest known sentence, so it doesn't matter over how many lines a
 sentence is wrapped; a sentence inside a longer known one doesn't count.
 
-DataFrame functions only; nothing is shuffled: a document is one row throughout.
-Only documents with one of the words that every known sentence contains are cut
-up.
+Nothing is shuffled: a document is one row throughout. Only documents with one
+of the words that every known sentence contains are cut up, and only pieces of documents in which
+a sentence may begin go to Python, where a tree of the sentences' words is walked from each such place: the work
+grows with the text. A sentence with a name in it, free between fixed parts, is written with a
+fixed name before it is looked up.
 
 Edge cases: a null or empty text has no licence; repeated rows each keep their
 row; an empty table gives an empty result; columns besides the id and the text
@@ -22,11 +24,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headerloom.llm.common import ascii_lower
-from headerloom.llm.licence_texts import KEYWORDS, KINDS, RULES, SENTENCES, Rule
+from headerloom.llm.licence_texts import KEYWORDS, KINDS, NAMED, RULES, SENTENCES, Rule
 
 #: A run of marks is left at once if no space follows, however long it is.
 _BREAK = r"(?<![.!?])[.!?]++\s+|[\r\n]+"
@@ -36,6 +39,43 @@ def normalised(piece: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(piece), "[^a-z0-9]+", " "))
 
 
+def _runs(sentences: dict[str, str]):
+    """A function of pieces and of the places where sentences may begin: the identifiers of the known sentences, in order."""
+    tree: dict = {}
+    for sentence, name in sentences.items():
+        at = tree
+        for word in sentence.split():
+            at = at.setdefault(word, {})
+        at[""] = name
+
+    def ids(pieces: list[str], starts: list[int]) -> list[str]:
+        runs = []
+        for start in starts:
+            at = tree
+            for end in range(start, len(pieces)):
+                for word in pieces[end].split():
+                    at = at.get(word)
+                    if at is None:
+                        break
+                if at is None:
+                    break
+                if "" in at:
+                    runs.append((start, -end, at[""]))
+        # A sentence inside a longer one ends no later than one that began before it or with it.
+        kept, until = [], -1
+        for _, end, name in sorted(runs):
+            if -end > until:
+                kept.append(name)
+                until = -end
+        return kept
+
+    @F.pandas_udf("array<string>")
+    def known_runs(pieces: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else ids(list(p), list(s)) for p, s in zip(pieces, starts, strict=True)], dtype=object)
+
+    return lambda pieces, starts: known_runs(F.when(F.size(starts) > 0, F.col(pieces)), F.when(F.size(starts) > 0, F.col(starts)))
+
+
 def with_sentence_ids(docs: DataFrame, id_col: str, text_col: str, sentences: dict[str, str] = SENTENCES) -> DataFrame:
     """``id_col`` and ids: the identifiers of each text's known sentences, in order.
 
@@ -44,20 +84,16 @@ def with_sentence_ids(docs: DataFrame, id_col: str, text_col: str, sentences: di
     loose = [s for s in sentences if not any(k in w for w in s.split() for k in KEYWORDS)]
     if loose:
         raise ValueError(f"without a keyword: {loose}")
-    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    known_runs = _runs(dict(sentences))
     begins = F.array(*[F.lit(f"{s} ") for s in sentences])
-    lower = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(id_col, "text", F.lower("text").alias("low"))
+    lower = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(id_col, reduce(lambda t, n: F.regexp_replace(t, *n), NAMED, F.col("text")).alias("text"), F.lower("text").alias("low"))
     marked = reduce(or_, [F.contains(F.col("low"), F.lit(k)) for k in KEYWORDS])
     raw = lower.select(id_col, F.when(marked, F.split("text", _BREAK)).otherwise(F.array().cast("array<string>")).alias("raw"))
     pieces = raw.select(id_col, F.filter(F.transform("raw", normalised), lambda p: p != "").alias("p"))
     # A piece that begins no known sentence can't be the first line of one; few are left.
     starts = pieces.select(id_col, "p", F.filter(F.transform("p", lambda p, i: F.when(F.exists(begins, lambda s: F.startswith(s, F.concat(p, F.lit(" ")))), i)), lambda i: i.isNotNull()).alias("at"))
-    # A piece has a word at least: more pieces than the longest sentence has words can't be one.
-    lengths = F.sequence(F.lit(1), F.lit(max(len(s.split()) for s in sentences)))
-    run = lambda i: lambda k: F.when(i + k <= F.size("p"), F.struct(i.alias("i"), (i + k).alias("end"), F.try_element_at(known, F.array_join(F.slice("p", i + 1, k), " ")).alias("id")))
-    runs = starts.select(id_col, F.flatten(F.transform("at", lambda i: F.filter(F.transform(lengths, run(i)), lambda x: x["id"].isNotNull()))).alias("runs"))
-    inside = lambda x: F.exists("runs", lambda y: (y["i"] <= x["i"]) & (y["end"] >= x["end"]) & (y["end"] - y["i"] > x["end"] - x["i"]))
-    return runs.select(id_col, F.transform(F.filter("runs", lambda x: ~inside(x)), lambda x: x["id"]).alias("ids"))
+    runs = starts.select(id_col, F.when(F.size("at") > 0, known_runs("p", "at")).alias("ids"))
+    return runs.select(id_col, F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -89,6 +125,9 @@ def oracle() -> str:
     """The same rows in DuckDB: every run of lines is tried, and rules are applied one after another."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in SENTENCES.items())
+    named = "coalesce(text, '')"
+    for pattern, fixed in NAMED:
+        named = f"regexp_replace({named}, {quote(pattern)}, {quote(fixed)}, 'g')"
     steps, left = [], "s0"
     for k, rule in enumerate(RULES):
         mark = "".join(f"<{s}>" for s in rule.sentences)
@@ -98,7 +137,7 @@ def oracle() -> str:
     kind = " ".join(f"WHEN list_contains(list_transform(met, lambda x: x.kind), {quote(k)}) THEN {quote(k)}" for k in KINDS)
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-rows AS (SELECT row_number() OVER () AS n, doc_id, string_split_regex(coalesce(text, ''), '[.!?]+\\s+|[\\r\\n]+') AS raw FROM documents),
+rows AS (SELECT row_number() OVER () AS n, doc_id, string_split_regex({named}, '[.!?]+\\s+|[\\r\\n]+') AS raw FROM documents),
 pieces AS (SELECT n, doc_id, list_filter(list_transform(raw, lambda p: trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))), lambda p: p <> '') AS p FROM rows),
 places AS MATERIALIZED (SELECT n, p, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM pieces),
 begun AS MATERIALIZED (SELECT n, p, i, sentence, id FROM places JOIN known ON starts_with(sentence || ' ', piece || ' ')),
