@@ -135,7 +135,9 @@ def text_evidence(pages: DataFrame, names: list[str], logs: np.ndarray) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *lists], names=["page_id", "host", "declared", "loglik", "own"])
 
     host = F.lower(F.regexp_extract(text_or_empty("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    declared = F.lower(F.regexp_extract(text_or_empty("html"), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]+)", 1))
+    # The first such tag alone is looked at: a page of beginnings of tags is read once.
+    tag = F.regexp_extract(text_or_empty("html"), r"(?i)<html\b([^>]*+)", 1)
+    declared = F.lower(F.regexp_extract(tag, r"(?i)\slang\s*+=\s*+[\"']?([a-zA-Z]++)", 1))
     narrow = pages.select("page_id", host.alias("host"), text_or_empty("html").alias("html"), declared.alias("declared"))
     kind = pages.schema["page_id"].dataType.simpleString()
     found = narrow.mapInArrow(work, f"page_id {kind}, host string, declared string, loglik array<double>, own array<double>")
