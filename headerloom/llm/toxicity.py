@@ -127,6 +127,19 @@ def build(model: Model):
     return None
 
 
+def _outside(at: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
+    """The matches that begin in none of ``spans``; both are walked once, in order."""
+    spans = sorted(spans)
+    kept, k, until = {}, 0, -1
+    for start in sorted(at):
+        while k < len(spans) and spans[k][0] <= start:
+            until = max(until, spans[k][1])
+            k += 1
+        if start >= until:
+            kept[start] = at[start]
+    return kept
+
+
 def features(text: str, automaton) -> tuple[float, float, float]:
     """(log of the summed weights, log of that for 1000 words, largest weight); each word counts once with its largest weight."""
     if automaton is None or not text:
@@ -141,7 +154,7 @@ def features(text: str, automaton) -> tuple[float, float, float]:
         elif weight > at.get(start, 0.0):
             at[start] = weight
     if excused:
-        at = {s: w for s, w in at.items() if not any(a <= s < b for a, b in excused)}
+        at = _outside(at, excused)
     if not at:
         return 0.0, 0.0, 0.0
     total = sum(at.values())
