@@ -47,7 +47,7 @@ BLOCK_ROWS = 8
 PARTS = 1000
 MAX_PARTS = 20_000
 #: Sources scheduled on the driver, and members of a group where there are more.
-MOST_TOGETHER = 1000
+MOST_TOGETHER = 128
 FAN = 64
 #: Weights follow rows ** TEMPERATURE where none are given: large sources are damped.
 TEMPERATURE = 0.5
