@@ -12,8 +12,9 @@ A host is blocked where even the lower bound of its posterior is above
 by the number of observations alone: it stays within 0 and 1 for small counts.
 
 Everything is grouped sums: counts by host are made where the pages are and
-only then shuffled, the levels above are sums of those. Pages meet their host's
-verdict in a join that deals the pages of one host over several tasks.
+only then shuffled, the levels above are sums of those. A host, domain or title with a third of
+all rows is one key of a join whose other side has one row for it: Spark splits such partitions at run time (adaptive
+skew joins), and nothing is copied for the other keys.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path,
 which is a host like others; rows that repeat an id are pages of their own; an outcome of a page
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headerloom.functions.suffixes import SHORT, Suffixes, organizational_domain, public_suffix
-from headerloom.llm.common import ascii_lower, spread_join, staged, text_or_empty
+from headerloom.llm.common import ascii_lower, staged, text_or_empty
 
 #: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -93,7 +94,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame, suffixes: Suffixes = SHOR
         level = level.withColumns({"a": a, "b": b})
         if below is not None:
             above = level.select(key, (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
-            level = staged(spread_join(below, above, [key], F.col("domain" if key == "suffix" else "host")), "level")
+            level = staged(below.join(above, key), "level")
     share = F.col("a") / (F.col("a") + F.col("b"))
     angle = F.asin(F.sqrt(share)) - DEVIATIONS / (2 * F.sqrt(F.col("a") + F.col("b") + 1))
     return level.select("host", "domain", "suffix", "n", "k", "a", "b", F.pow(F.sin(F.greatest(F.lit(0.0), angle)), 2).alias("lower"))
@@ -105,7 +106,7 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, most_bad
     read = pages.select("page_id", host.alias("host"), path.alias("path"))
     found = matching_rule(F.col("host"), F.col("path"), rules)
     hosts = reputations(read.select("page_id", "host"), outcomes, suffixes).select("host", F.col("n").alias("n_known"), F.col("k").alias("n_bad"), "lower")
-    met = spread_join(read, hosts, ["host"], F.struct("page_id", "path")).withColumn("found", found)
+    met = read.join(hosts, "host").withColumn("found", found)
     own = F.when(F.col("lower") > most_bad, "block").otherwise("allow")
     return met.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "n_known", "n_bad", "lower")
 
@@ -128,7 +129,7 @@ def outcomes_by_title(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> D
     by_title = begun.groupBy("title").agg((2 * F.count_if("bad") >= F.count("*")).alias("bad"))
     title = F.rtrim(_unescaped(F.regexp_extract(F.coalesce("html", F.lit("")), r"<title>([^<]*+)</title>", 1)))
     shown = pages.where("page_id is not null").select("page_id", title.alias("title")).where("title <> ''")
-    return spread_join(shown, by_title, ["title"], F.col("page_id")).groupBy("page_id").agg(F.first("bad").alias("bad"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return shown.join(by_title, "title").groupBy("page_id").agg(F.first("bad").alias("bad"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
 def op12_url_filter(spark, sf_dir: str) -> DataFrame:
