@@ -104,7 +104,7 @@ def recorded_spf(text: str) -> dict:
 @F.arrow_udf(from_arrow_type(_RESULTS))
 def recorded(values: pa.Array, spf: pa.Array) -> pa.Array:
     """Server and claims of each value; ``spf`` says which are those of Received-SPF."""
-    read = [(recorded_spf if s else recorded_results)(v or "") for v, s in zip(values.to_pylist(), spf.to_pylist(), strict=True)]
+    read = [None if v is None else (recorded_spf if s else recorded_results)(v) for v, s in zip(values.to_pylist(), spf.to_pylist(), strict=True)]
     return pa.array(read, _RESULTS)
 
 
@@ -130,7 +130,7 @@ _TAGS = pa.map_(pa.string(), pa.string())
 
 @F.arrow_udf(from_arrow_type(_TAGS))
 def tags(values: pa.Array) -> pa.Array:
-    return pa.array([list(tag_values(v or "").items()) for v in values.to_pylist()], _TAGS)
+    return pa.array([None if v is None else list(tag_values(v).items()) for v in values.to_pylist()], _TAGS)
 
 
 #: Beginnings of the months' names.
@@ -227,4 +227,4 @@ def received_parts(text: str) -> dict:
 
 @F.arrow_udf(from_arrow_type(_HOP))
 def received(values: pa.Array) -> pa.Array:
-    return pa.array([received_parts(v or "") for v in values.to_pylist()], _HOP)
+    return pa.array([None if v is None else received_parts(v) for v in values.to_pylist()], _HOP)

@@ -27,12 +27,18 @@ def _host(text: Column) -> Column:
     return F.get(F.filter(F.regexp_extract_all(text, F.lit(HOST), F.lit(0)), lambda x: ~x.rlike(r"^\d+$")), F.lit(0))
 
 
+def with_clauses(fields: DataFrame) -> DataFrame:
+    """The fields with ``hop``: clauses and date of a Received field, read once."""
+    return fields.withColumn("hop", received(F.when(F.col("name_lc") == "received", F.col("normalized_value"))))
+
+
 def parse_received(fields: DataFrame) -> DataFrame:
     """One row for each Received field: (msg_id, hop_idx from the newest, from_host, from_rdns, by_host, protocol, via, tls_info, queue_id, for_recipient, ip_addresses, primary_ip, timestamp_utc, original_offset, has_zone, date_text, has_from, has_by, used_tls)."""
     # Texts are taken apart where the fields are read; the window that numbers hops comes last and moves only what was found.
-    rows = fields.where(F.col("name_lc") == "received").select("msg_id", "ord", F.col("normalized_value").alias("raw"))
+    fields = fields if "hop" in fields.columns else with_clauses(fields)
+    rows = fields.where(F.col("name_lc") == "received").select("msg_id", "ord", F.col("normalized_value").alias("raw"), "hop")
     # Through a generator, filters on what follows can't repeat the work above.
-    rows = rows.select("msg_id", "ord", "raw", F.inline(F.array(received("raw"))))
+    rows = rows.select("msg_id", "ord", "raw", F.inline(F.array("hop")))
     word = lambda c: F.nullif(F.regexp_extract(c, r"^\s*+(\S++)", 1), F.lit(""))
     before = lambda c: F.split_part(c, F.lit("("), F.lit(1))
     # The first parenthesis, up to the first that closes.
