@@ -138,6 +138,11 @@ SELECT page_id, a, b, CASE WHEN a = b THEN 'exact' WHEN l.org <> r.org THEN 'mis
 w AS (SELECT unnest([1, 2, 3]) AS o, unnest(['nation_7', 'nation_12', 'nation_21']) AS t), s AS (SELECT raw, translate(raw, '015', 'ols') AS a, o, t, translate(t, '015', 'ols') AS b FROM f, w WHERE raw <> t),
 k AS (SELECT raw, o, t, CASE WHEN a = b THEN 'homoglyph' WHEN levenshtein(a, b) = 1 OR levenshtein(a, b) = 2 AND length(b) >= 7 THEN 'edit-distance' WHEN contains(raw, t) THEN 'embedded-brand' END AS technique FROM s)
 SELECT raw || '.example' AS domain, arg_min(t, o) || '.example' AS matched, arg_min(technique, o) AS technique FROM k WHERE technique IS NOT NULL GROUP BY raw""",
+    "domain_watched": """WITH e AS (SELECT n_nationkey AS rank, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS x FROM nation UNION ALL SELECT s_suppkey + 100, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') FROM supplier),
+f AS (SELECT DISTINCT unnest([x, x[1] || x, x || '-pay', translate(x, 'ols', '015'), 'x' || x || 'yz', x[2:] || 'q']) AS raw FROM e),
+s AS (SELECT raw, translate(raw, '015', 'ols') AS a, rank, x AS t, translate(x, '015', 'ols') AS b FROM f, e WHERE raw <> x),
+k AS (SELECT raw, rank, t, CASE WHEN a = b THEN 'homoglyph' WHEN length(t) >= 4 AND levenshtein(a, b) = 1 OR length(t) >= 7 AND levenshtein(a, b) = 2 THEN 'edit-distance' WHEN length(t) >= 4 AND contains(raw, t) THEN 'embedded-brand' END AS technique FROM s)
+SELECT 'mail.' || raw || '.example' AS domain, arg_min(t, rank) || '.example' AS matched, arg_min(technique, rank) AS technique FROM k WHERE technique IS NOT NULL GROUP BY raw""",
     "ioc_email": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\\w.+-])([a-zA-Z0-9._%+-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)+)', 1)) AS e FROM documents) SELECT doc_id, lower(e) AS email, count(*) AS n FROM t GROUP BY ALL",
     "ioc_url": "WITH t AS (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, '(?i)(?:https?|hxxps?)://[^\\s<>\"''\\])]+')) AS u FROM pages) SELECT page_id, u AS url, count(*) AS n FROM t GROUP BY ALL",
     "ioc_defang": "SELECT page_id, 'hxxp' || substring(replace(url, '.', '[.]'), 5) AS defanged FROM pages",

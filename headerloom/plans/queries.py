@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from headerloom.config import EngineConfig
 from headerloom.functions import net, suffixes
-from headerloom.operators import auth, dkim, headers, identity, intel, ioc, route, rules, spf, vendor, verify, warnings
+from headerloom.operators import auth, dkim, headers, identity, intel, ioc, lookalike, route, rules, spf, vendor, verify, warnings
 from headerloom.plans.generator import dns_tables, order_messages, signed_messages, signing_keys, spf_checks, spf_tables, suffix_table
 from headerloom.plans.pipeline import analyze, markdown, reports
 
@@ -190,6 +190,16 @@ def domain_lookalike(spark, sf):
     return _names(spark, sf).select("domain", hit["matched"].alias("matched"), hit["technique"].alias("technique")).where("matched is not null").distinct()
 
 
+def domain_watched(spark, sf):
+    """Names made of nations and suppliers against all of these as a watch list, by the index."""
+    label = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    nations, suppliers = (_table(spark, sf, t).select(F.col(f"{t[0]}_{k}key").alias("rank"), label(f"{t[0]}_name").alias("x")) for t, k in (("nation", "nation"), ("supplier", "supp")))
+    every = nations.unionByName(suppliers.withColumn("rank", F.col("rank") + 100))
+    forms = F.array(F.col("x"), F.concat(F.substring("x", 1, 1), "x"), F.concat("x", F.lit("-pay")), F.translate("x", "ols", "015"), F.concat(F.lit("x"), "x", F.lit("yz")), F.concat(F.expr("substring(x, 2)"), F.lit("q")))
+    names = every.select(F.explode(forms).alias("form")).select(F.concat(F.lit("mail."), "form", F.lit(".example")).alias("domain"))
+    return lookalike.lookalikes(names, every.select(F.concat("x", F.lit(".example")).alias("domain"), "rank"))
+
+
 def ioc_email(spark, sf):
     emails = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ioc.EMAIL), F.lit(0))
     return _table(spark, sf, "documents").select("doc_id", F.explode(emails).alias("e")).groupBy("doc_id", F.lower("e").alias("email")).agg(F.count("*").alias("n"))
@@ -307,6 +317,6 @@ QUERIES = {
     for f in (
         route_transit, route_hops, route_tls, route_delays, route_trust_boundary, route_internal_to_public, header_fields, header_duplicates, header_unparsable, header_warnings, auth_evidence, auth_trust, auth_alignment, auth_spoofed_name, auth_arc_latest,
         dkim_domains, identity_compare, vendor_decode, ioc_dedupe, ioc_all_kinds, ioc_email, ioc_url, ioc_domain, ioc_defang, ip_extract, ip_classify, dnsbl_name, url_host, domain_normalize, domain_org, domain_compare, domain_skeleton,
-        domain_lookalike, spf_verify, spf_budget, dkim_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
+        domain_lookalike, domain_watched, spf_verify, spf_budget, dkim_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
     )
 }
