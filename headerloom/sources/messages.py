@@ -31,13 +31,21 @@ def split_header_body(messages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, config: EngineConfig | None = None) -> DataFrame:
-    """Messages in .eml and .txt files; invalid UTF-8 is replaced, larger files than allowed are left out before they are read."""
+    """Messages in .eml and .txt files; invalid UTF-8 is replaced, larger files than allowed are left out before they are read: ``rejected_files`` names them."""
     config = config or EngineConfig()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.col("path").rlike(r"(?i)\.(eml|txt)$") & (F.col("length") <= config.max_header_bytes))
     return split_header_body(files.select(F.col("path").alias("msg_id"), F.expr("make_valid_utf8(cast(content as string))").alias("text")))
 
 
+def rejected_files(spark: SparkSession, path: str, config: EngineConfig | None = None) -> DataFrame:
+    """(msg_id, n_bytes, reason) of the files that ``read_files`` leaves out for their size; they aren't read."""
+    config = config or EngineConfig()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    large = files.where(F.col("path").rlike(r"(?i)\.(eml|txt)$") & (F.col("length") > config.max_header_bytes))
+    return large.select(F.col("path").alias("msg_id"), F.col("length").alias("n_bytes"), F.lit(f"larger than {config.max_header_bytes} bytes").alias("reason"))
+
+
 def within_size(messages: DataFrame, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by the bytes of the header."""
     small = F.coalesce(F.octet_length("raw_header"), F.lit(0)) <= config.max_header_bytes
