@@ -121,8 +121,8 @@ def plain(text: str) -> str:
 
 
 SENTENCES = {plain(text): name for name, text in [*TEXTS, *_gnu_sentences(), *_cc_sentences(), *_spdx_sentences()]}
-#: Sentences with somebody's name in them, and the form with a fixed name under which they are known. Names have at most 16 words.
-NAMED = ((r"(?i)neither\W+the\W+names?\W+of\W+(?:\w+\W+){1,16}?nor\W+the\W+names?\W+of\W+(?:its|their|his)\W+contributors", "Neither the name of the copyright holder nor the names of its contributors"),)
+#: Their first word, sentences with somebody's name in them, and the form with a fixed name under which they are known. Names have at most 16 words.
+NAMED = (("neither", r"(?i)neither\W+the\W+names?\W+of\W+(?:\w+\W+){1,16}?nor\W+the\W+names?\W+of\W+(?:its|their|his)\W+contributors", "Neither the name of the copyright holder nor the names of its contributors"),)
 #: A word of each known sentence contains one of these; no line end can split them.
 KEYWORDS = ("licens", "copyright", "reserved", "warrant", "hereby", "distribut", "unencumbered", "liable", "endorse")
 
