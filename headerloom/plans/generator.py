@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from headerloom.functions import ed25519
+
 _HOP = r"""
 concat('Received: from h', l_suppkey, '.example.net (r', l_suppkey, '.example.org. [', ip, '])\n\tby mx', l_partkey % 5,
  if(l_partkey % 3 = 0, '.corp.example', '.relay.example'), ' with ', protocol, if(protocol = 'ESMTPS', ' (TLS1.3 cipher=X (a; b))', ''),
@@ -107,29 +109,41 @@ def _raised(digests: pd.Series) -> pd.Series:
     return digests.map(lambda h: base64.b64encode(pow(int(start + h, 16), d, n).to_bytes(size, "big")).decode())
 
 
+#: A seed that anybody can write down; its key is made of it.
+_SEED = bytes(range(32))
+
+
+@F.pandas_udf(T.StringType())
+def _signed_on_curve(digests: pd.Series) -> pd.Series:
+    """Ed25519 signatures of SHA-256 digests in hex; null for null."""
+    return digests.map(lambda h: base64.b64encode(ed25519.sign(_SEED, bytes.fromhex(h))).decode(), na_action="ignore")
+
+
 def signed_messages(orders: DataFrame) -> DataFrame:
     """(msg_id, raw_header, body): one signed message for each order; what is wrong with it follows from o_orderkey % 7.
 
-    1 another subject, 2 another body, 3 an unknown key, 4 no signature, 5 missing tags, 6 Ed25519; every third has no
-    body. The canonical forms are written out here, they are not computed from the messages.
+    1 another subject, 2 another body, 3 an unknown key, 4 no signature, 5 missing tags, 6 Ed25519, of these every second
+    with another subject and every fifth with the name of an RSA key; every third has no body. The canonical forms are written out here, they are not computed from the messages.
     """
-    rows = orders.selectExpr("o_orderkey as k", "o_orderkey % 7 as kind", "o_custkey % 2 = 0 as rh", "o_custkey % 4 < 2 as rb")
+    rows = orders.selectExpr("o_orderkey as k", "o_orderkey % 7 as kind", "case when o_orderkey % 7 = 3 then 'k2' when o_orderkey % 7 = 6 and o_orderkey % 5 > 0 then 'e1' else 'k1' end as selector", "o_custkey % 2 = 0 as rh", "o_custkey % 4 < 2 as rb")
     rows = rows.selectExpr(
         "*",
         "base64(unhex(sha2(if(rb, concat('Hello ', k, '\r\n'), concat('Hello  ', k, ' \r\n')), 256))) as bh",
         "concat('v=1; a=', if(kind = 6, 'ed25519', 'rsa'), '-sha256; c=', if(rh, 'relaxed', 'simple'), '/', if(rb, 'relaxed', 'simple'), '; d=s.example;') as t1",
-        "concat('s=', if(kind = 3, 'k2', 'k1'), '; h=From:Subject:To; bh=') as t2",
+        "concat('s=', selector, '; h=From:Subject:To; bh=') as t2",
     )
     relaxed = r"concat('from:Signer <u', k, '@s.example>\r\nsubject:order ', k, '\r\ndkim-signature:', t1, ' ', t2, bh, '; b=')"
     simple = r"concat('From:  Signer\r\n\t<u', k, '@s.example>\r\nSubject : order   ', k, '\r\nDKIM-Signature: ', t1, '\r\n ', t2, bh, ';\r\n b=')"
-    rows = rows.withColumn("b", _raised(F.sha2(F.expr(f"if(rh, {relaxed}, {simple})"), 256)))
+    digest, curve = F.sha2(F.expr(f"if(rh, {relaxed}, {simple})"), 256), F.col("kind") == 6
+    rows = rows.withColumn("b", F.coalesce(_signed_on_curve(F.when(curve, digest)), _raised(digest)))
     signature = r"case kind when 4 then null when 5 then 'DKIM-Signature: v=1; d=s.example; s=k1;\n b=ab cd' else concat('DKIM-Signature: ', t1, '\n ', t2, bh, ';\n b=', substring(b, 1, 60), '\n\t', substring(b, 61)) end"
-    head = rf"concat_ws('\n', {signature}, concat('From:  Signer\n\t<u', k, '@s.example>'), concat('Subject : order   ', k, if(kind = 1, '!', '')), 'X-Other: unsigned')"
+    head = rf"concat_ws('\n', {signature}, concat('From:  Signer\n\t<u', k, '@s.example>'), concat('Subject : order   ', k, if(kind = 1 or kind = 6 and k % 2 = 0, '!', '')), 'X-Other: unsigned')"
     return rows.selectExpr("cast(k as string) as msg_id", f"{head} as raw_header", r"if(k % 3 = 0, null, concat('Hello  ', k, ' \n', if(kind = 2, 'more', '\n\n'))) as body")
 
 
 def signing_keys(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("k1._domainkey.s.example", 0, f"v=DKIM1; p={public_key()}", False)], "name string, seq int, value string, unavailable boolean")
+    curve = base64.b64encode(ed25519.public(_SEED)).decode()
+    return spark.createDataFrame([("k1._domainkey.s.example", 0, f"v=DKIM1; p={public_key()}", False), ("e1._domainkey.s.example", 0, f"v=DKIM1; k=ed25519; p={curve}", False)], "name string, seq int, value string, unavailable boolean")
 
 
 def spf_checks(orders: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ SELECT msg_id, result, CASE result WHEN 'pass' THEN 'verified_pass' WHEN 'temper
 SELECT msg_id, CASE WHEN kind = 0 THEN 'pass' WHEN kind IN (1, 2, 6, 8, 9) THEN 'permerror' WHEN kind = 3 THEN CASE WHEN y % 2 = 0 AND u = 1 THEN 'pass' ELSE 'fail' END WHEN kind = 4 THEN CASE WHEN z = 1 THEN 'pass' ELSE 'softfail' END
  WHEN kind = 5 THEN CASE WHEN x % 2 = 0 AND y % 3 = 0 THEN 'pass' ELSE 'fail' END WHEN kind = 7 THEN CASE WHEN x < 128 THEN 'pass' ELSE 'neutral' END WHEN kind = 10 THEN CASE WHEN x = 5 THEN 'pass' ELSE 'fail' END ELSE CASE WHEN x IN (7, 9) THEN 'pass' ELSE 'softfail' END END AS result FROM c""",
     "header_warnings": "SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, 'header' AS part, 'duplicate' AS code, 'subject' AS detail FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'field', 'no_colon', 'this line has no colon' FROM orders WHERE o_orderkey % 13 = 0",
-    "dkim_verify": "WITH c AS (SELECT o_orderkey AS k, o_orderkey % 7 AS kind, o_orderkey % 3 <> 0 AS body FROM orders) SELECT CAST(k AS VARCHAR) AS msg_id, CASE WHEN kind <> 4 THEN 's.example' END AS domain, CASE WHEN kind = 3 THEN 'k2' WHEN kind <> 4 THEN 'k1' END AS selector, CASE WHEN kind = 4 THEN NULL WHEN body THEN 'fields and body' ELSE 'fields' END AS scope, CASE WHEN kind = 4 THEN 'not_possible' WHEN kind IN (5, 6) THEN 'error' WHEN kind IN (1, 3) OR kind = 2 AND body THEN 'verified_fail' ELSE 'verified_pass' END AS outcome FROM c",
+    "dkim_verify": "WITH c AS (SELECT o_orderkey AS k, o_orderkey % 7 AS kind, o_orderkey % 3 <> 0 AS body FROM orders) SELECT CAST(k AS VARCHAR) AS msg_id, CASE WHEN kind <> 4 THEN 's.example' END AS domain, CASE WHEN kind = 3 THEN 'k2' WHEN kind = 6 AND k % 5 > 0 THEN 'e1' WHEN kind <> 4 THEN 'k1' END AS selector, CASE WHEN kind = 4 THEN NULL WHEN body THEN 'fields and body' ELSE 'fields' END AS scope, CASE WHEN kind = 4 THEN 'not_possible' WHEN kind = 5 THEN 'error' WHEN kind IN (1, 3) OR kind = 2 AND body OR kind = 6 AND (k % 2 = 0 OR k % 5 = 0) THEN 'verified_fail' ELSE 'verified_pass' END AS outcome FROM c",
     "dmarc_verify": "WITH c AS (SELECT o_orderkey AS msg_id, o_custkey % 40 AS n, o_orderstatus = 'F' AS spf, o_orderkey % 3 AS al FROM orders), r AS (SELECT *, n % 3 <> 2 AS has, n % 3 <> 2 AND n % 10 = 6 AS failed FROM c) SELECT msg_id, CASE WHEN has AND NOT failed THEN CASE WHEN n % 2 = 0 THEN 'reject' ELSE 'quarantine' END END AS policy, CASE WHEN failed THEN 'error' WHEN NOT has THEN 'not_possible' WHEN spf AND (al = 0 OR al = 1 AND n % 3 <> 1) THEN 'verified_pass' ELSE 'verified_fail' END AS outcome FROM r",
     "fcrdns": f"{_HOPS}, s AS (SELECT DISTINCT ip, ip_class, l_suppkey % 100 AS x, l_suppkey % 250 AS y FROM h), k AS (SELECT DISTINCT s % 100 AS x, s % 250 AS y FROM range(100000) t(s) WHERE s % 4 = 1 AND s % 3 <> 0) SELECT DISTINCT s.ip, ip_class = 'public' AS checked, ip_class = 'public' AND k.x IS NOT NULL AND s.y % 2 = 0 AS confirmed FROM s LEFT JOIN k ON s.x = k.x AND s.y = k.y",
     "dnsbl": f"{_HOPS}, s AS (SELECT DISTINCT ip, l_suppkey % 100 AS x, l_suppkey % 250 AS y FROM h WHERE ip_class = 'public'), k AS (SELECT DISTINCT s % 100 AS x, s % 250 AS y FROM range(100000) t(s) WHERE s % 4 = 1 AND s % 3 <> 0) SELECT ip, CASE WHEN y % 2 = 0 THEN 'zen.spamhaus.org' ELSE 'bl.spamcop.net' END AS zones FROM s JOIN k USING (x, y) WHERE y % 5 = 0",
