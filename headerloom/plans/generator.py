@@ -102,11 +102,11 @@ def public_key() -> str:
 
 @F.pandas_udf(T.StringType())
 def _raised(digests: pd.Series) -> pd.Series:
-    """Signatures of SHA-256 digests in hex."""
+    """Signatures of SHA-256 digests in hex; null for null."""
     n, d = _P * _Q, pow(_E, -1, (_P - 1) * (_Q - 1))
     size = (n.bit_length() + 7) // 8
     start = "0001" + "ff" * (size - 54) + "00" + "3031300d060960864801650304020105000420"
-    return digests.map(lambda h: base64.b64encode(pow(int(start + h, 16), d, n).to_bytes(size, "big")).decode())
+    return digests.map(lambda h: base64.b64encode(pow(int(start + h, 16), d, n).to_bytes(size, "big")).decode(), na_action="ignore")
 
 
 #: A seed that anybody can write down; its key is made of it.
@@ -135,7 +135,7 @@ def signed_messages(orders: DataFrame) -> DataFrame:
     relaxed = r"concat('from:Signer <u', k, '@s.example>\r\nsubject:order ', k, '\r\ndkim-signature:', t1, ' ', t2, bh, '; b=')"
     simple = r"concat('From:  Signer\r\n\t<u', k, '@s.example>\r\nSubject : order   ', k, '\r\nDKIM-Signature: ', t1, '\r\n ', t2, bh, ';\r\n b=')"
     digest, curve = F.sha2(F.expr(f"if(rh, {relaxed}, {simple})"), 256), F.col("kind") == 6
-    rows = rows.withColumn("b", F.coalesce(_signed_on_curve(F.when(curve, digest)), _raised(digest)))
+    rows = rows.withColumn("b", F.coalesce(_signed_on_curve(F.when(curve, digest)), _raised(F.when(~curve, digest))))
     signature = r"case kind when 4 then null when 5 then 'DKIM-Signature: v=1; d=s.example; s=k1;\n b=ab cd' else concat('DKIM-Signature: ', t1, '\n ', t2, bh, ';\n b=', substring(b, 1, 60), '\n\t', substring(b, 61)) end"
     head = rf"concat_ws('\n', {signature}, concat('From:  Signer\n\t<u', k, '@s.example>'), concat('Subject : order   ', k, if(kind = 1 or kind = 6 and k % 2 = 0, '!', '')), 'X-Other: unsigned')"
     return rows.selectExpr("cast(k as string) as msg_id", f"{head} as raw_header", r"if(k % 3 = 0, null, concat('Hello  ', k, ' \n', if(kind = 2, 'more', '\n\n'))) as body")
@@ -176,3 +176,12 @@ SUFFIX_RULES = ("com", "net", "org", "uk", "co.uk", "ar", "com.ar", "*.ck", "!ww
 
 def suffix_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*((r, False) for r in SUFFIX_RULES), ("example.net", True)], "rule string, private boolean")
+
+
+def provider_responses(lineitem: DataFrame) -> DataFrame:
+    """(l_orderkey, l_linenumber, l_suppkey, l_partkey, provider, kind, ioc, code, body, asked_at): what a provider said for each line item; every ninth code is missing, line 7 has a body that can't be read."""
+    body = """case when l_linenumber = 7 then 'no json' when p = 1 then concat('{"data": {"abuseConfidenceScore": ', cast(l_quantity as int) * 2, ', "totalReports": 3}}')
+     when p = 2 then concat('{"reputation": "', if(l_quantity < 25, 'low', 'high'), '", "suspicious": ', l_linestatus = 'O', ', "details": {"malicious_activity": ', l_returnflag = 'R', '}}')
+     else concat('{"data": {"attributes": {"reputation": 1, "last_analysis_stats": {"malicious": ', l_linenumber % 3, ', "suspicious": 0, "harmless": 60}}}}') end"""
+    rows = lineitem.selectExpr("*", "l_suppkey % 3 + 1 as p", "element_at(array(200, 200, 200, 200, 404, 401, 429, 500, null), cast(l_orderkey % 9 as int) + 1) as code")
+    return rows.selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "element_at(array('abuseipdb', 'emailrep', 'virustotal'), cast(p as int)) as provider", "element_at(array('ipv4', 'email', 'domain'), cast(p as int)) as kind", "concat('i', l_partkey % 400) as ioc", "code", f"if(code = 200, {body}, null) as body", "cast(l_shipdate as timestamp) as asked_at")

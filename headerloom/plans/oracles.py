@@ -101,6 +101,24 @@ ips AS (
 t AS (SELECT o_orderkey, v, (v // 16777216) || '.' || (v // 65536 % 256) || '.' || (v // 256 % 256) || '.' || (v % 256) AS ip FROM ips)
 """
 
+_SAID = """
+WITH r AS (SELECT *, l_suppkey % 3 AS p, list_extract([200, 200, 200, 200, 404, 401, 429, 500, NULL], CAST(l_orderkey % 9 + 1 AS INT)) AS code FROM lineitem),
+s AS (
+  SELECT *, list_extract(['abuseipdb', 'emailrep', 'virustotal'], CAST(p + 1 AS INT)) AS provider, list_extract(['ipv4', 'email', 'domain'], CAST(p + 1 AS INT)) AS kind, 'i' || l_partkey % 400 AS ioc,
+    CASE WHEN code IS NULL THEN 'timeout' WHEN code = 200 AND l_linenumber <> 7 THEN 'success' WHEN code = 404 AND p > 0 THEN 'unknown' WHEN code = 401 THEN 'invalid_key' WHEN code = 429 THEN 'rate_limited' ELSE 'provider_error' END AS status
+  FROM r),
+t AS (
+  SELECT *, CASE WHEN status = 'success' THEN CASE p WHEN 0 THEN CAST(floor(l_quantity) AS INT) * 2 >= 50 WHEN 1 THEN l_linestatus = 'O' OR l_returnflag = 'R' ELSE l_linenumber % 3 > 0 END END AS malicious,
+    CASE WHEN status = 'success' AND p = 1 THEN CASE WHEN l_quantity < 25 THEN 'low' ELSE 'high' END END AS reputation, CASE WHEN status = 'success' AND p = 1 THEN l_linestatus = 'O' END AS suspicious
+  FROM s),
+w AS (SELECT DISTINCT provider, kind, ioc FROM t),
+early AS (
+  SELECT *, row_number() OVER (PARTITION BY provider, kind, ioc ORDER BY l_shipdate DESC, malicious, reputation, suspicious NULLS FIRST) AS n FROM t
+  WHERE status = 'success' AND l_shipdate <= DATE '1995-06-17' AND l_shipdate > DATE '1995-06-17' - INTERVAL 400 DAY),
+kept AS (SELECT * FROM early WHERE n = 1),
+late AS (SELECT *, row_number() OVER (PARTITION BY provider, kind, ioc ORDER BY status <> 'success', status, malicious NULLS FIRST, reputation NULLS FIRST, suspicious NULLS FIRST) AS n FROM t WHERE l_shipdate > DATE '1995-06-17')
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "route_transit": f"{_HOPS} SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, count(hop) AS n_hops, CAST(sum(sec - b_sec) FILTER (WHERE sec >= b_sec) AS DOUBLE) AS transit, count(*) FILTER (WHERE sec < b_sec) AS n_skews FROM orders LEFT JOIN p ON l_orderkey = o_orderkey GROUP BY 1",
     "route_hops": f"{_HOPS} SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, hop AS hop_idx, 'h' || l_suppkey || '.example.net' AS from_host, 'r' || l_suppkey || '.example.org' AS from_rdns, 'mx' || l_partkey % 5 || CASE WHEN l_partkey % 3 = 0 THEN '.corp.example' ELSE '.relay.example' END AS by_host, protocol, 'q' || l_partkey AS queue_id, '<u' || l_suppkey || '@to.example>' AS for_recipient, ip AS primary_ip, ip_class AS primary_ip_class, sec AS unix_seconds, zone AS original_offset FROM h",
@@ -148,6 +166,9 @@ SELECT 'mail.' || raw || '.example' AS domain, arg_min(t, rank) || '.example' AS
     "ioc_defang": "SELECT page_id, 'hxxp' || substring(replace(url, '.', '[.]'), 5) AS defanged FROM pages",
     "intel_topk": "WITH i AS (SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, list_extract(['url', 'email', 'domain'], l_linenumber % 3 + 1) AS kind, 'i' || l_partkey % 50 AS normalized, min(l_partkey % 50) AS place, bool_and(l_suppkey % 5 <> 0) AS ok FROM lineitem GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY msg_id, kind ORDER BY place) AS n FROM i WHERE ok) SELECT msg_id, kind, normalized FROM r WHERE n <= CASE kind WHEN 'email' THEN 2 ELSE 1 END",
     "intel_consensus": "SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, 'domain' AS kind, 'i' || l_partkey % 3 AS ioc, count(DISTINCT l_suppkey % 3) AS n_providers, string_agg(DISTINCT list_extract(['abuseipdb', 'emailrep', 'virustotal'], CAST(l_suppkey % 3 + 1 AS INT)), ',' ORDER BY list_extract(['abuseipdb', 'emailrep', 'virustotal'], CAST(l_suppkey % 3 + 1 AS INT))) AS providers FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N' GROUP BY 1, 2, 3",
+    "intel_responses": f"{_SAID} SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, provider, status, malicious, reputation, suspicious FROM t",
+    "intel_reuse": f"{_SAID} SELECT w.provider, w.kind AS ioc_type, w.ioc, coalesce(k.status, l.status, 'disabled') AS status, CASE WHEN k.status IS NOT NULL THEN k.malicious ELSE l.malicious END AS malicious, k.status IS NOT NULL AS cached FROM w LEFT JOIN kept k ON k.provider = w.provider AND k.kind = w.kind AND k.ioc = w.ioc LEFT JOIN late l ON l.provider = w.provider AND l.kind = w.kind AND l.ioc = w.ioc AND l.n = 1",
+    "intel_to_ask": f"{_SAID} SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.provider = w.provider AND k.kind = w.kind AND k.ioc = w.ioc)",
     "spf_verify": """WITH c AS (SELECT o_orderkey AS msg_id, o_custkey % 40 AS n, o_orderkey % 3 AS i, o_orderkey % 256 AS x FROM orders),
 r AS (SELECT msg_id, CASE WHEN n % 10 = 4 AND n % 4 <> 3 THEN 'temperror' WHEN n % 4 = 3 THEN 'none' WHEN n % 4 = 0 THEN CASE WHEN i = 0 THEN 'pass' ELSE 'fail' END WHEN n % 4 = 1 THEN CASE WHEN i = 1 AND x >= 128 THEN 'pass' ELSE 'softfail' END ELSE CASE WHEN i = 0 THEN 'pass' ELSE 'neutral' END END AS result FROM c)
 SELECT msg_id, result, CASE result WHEN 'pass' THEN 'verified_pass' WHEN 'temperror' THEN 'error' WHEN 'none' THEN 'not_possible' WHEN 'neutral' THEN 'not_possible' ELSE 'verified_fail' END AS outcome FROM r""",

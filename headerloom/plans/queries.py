@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from headerloom.config import EngineConfig
 from headerloom.functions import net, suffixes
-from headerloom.operators import auth, dkim, headers, identity, intel, ioc, lookalike, route, rules, spf, vendor, verify, warnings
-from headerloom.plans.generator import dns_tables, order_messages, signed_messages, signing_keys, spf_checks, spf_tables, suffix_table
+from headerloom.operators import answers, auth, dkim, headers, identity, intel, ioc, lookalike, route, rules, spf, vendor, verify, warnings
+from headerloom.plans.generator import dns_tables, order_messages, provider_responses, signed_messages, signing_keys, spf_checks, spf_tables, suffix_table
 from headerloom.plans.pipeline import analyze, markdown, reports
 
 CONFIG = EngineConfig(trusted_domains=("corp.example",), protected_domains=("nation_7.example", "nation_12.example", "nation_21.example"))
@@ -270,6 +270,31 @@ def intel_consensus(spark, sf):
     return intel.consensus(rows)
 
 
+def intel_responses(spark, sf):
+    """Responses of providers as answers."""
+    return answers.read_responses(provider_responses(_table(spark, sf, "lineitem"))).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "provider", "status", "malicious", "reputation", "suspicious")
+
+
+def _kept(spark, sf):
+    """Answers to the line items that were sent by the middle of 1995, kept for 400 days, and the others."""
+    now, ttl = F.lit("1995-06-17").cast("timestamp"), 400 * 86_400
+    told = answers.read_responses(provider_responses(_table(spark, sf, "lineitem")))
+    early = told.where(F.col("asked_at") <= now)
+    return told, answers.renewed(early.limit(0), early, now, ttl), told.where(F.col("asked_at") > now), now, ttl
+
+
+def intel_reuse(spark, sf):
+    """Every lookup answered by a success that is kept, else by what came later."""
+    told, kept, later, now, ttl = _kept(spark, sf)
+    return answers.answered(told, kept, later, now, ttl).select("provider", "ioc_type", "ioc", "status", "malicious", "cached")
+
+
+def intel_to_ask(spark, sf):
+    """Lookups that no kept success answers."""
+    told, kept, _, now, ttl = _kept(spark, sf)
+    return answers.to_ask(told, kept, now, ttl)
+
+
 def _analysis(spark, sf, config=CONFIG):
     return analyze(order_messages(spark, sf), config, dns_tables(spark))
 
@@ -317,6 +342,6 @@ QUERIES = {
     for f in (
         route_transit, route_hops, route_tls, route_delays, route_trust_boundary, route_internal_to_public, header_fields, header_duplicates, header_unparsable, header_warnings, auth_evidence, auth_trust, auth_alignment, auth_spoofed_name, auth_arc_latest,
         dkim_domains, identity_compare, vendor_decode, ioc_dedupe, ioc_all_kinds, ioc_email, ioc_url, ioc_domain, ioc_defang, ip_extract, ip_classify, dnsbl_name, url_host, domain_normalize, domain_org, domain_compare, domain_skeleton,
-        domain_lookalike, domain_watched, spf_verify, spf_budget, dkim_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
+        domain_lookalike, domain_watched, spf_verify, spf_budget, dkim_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, intel_responses, intel_reuse, intel_to_ask, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
     )
 }

@@ -1,7 +1,12 @@
 """Signatures on the curve by the standards' vectors, and answers of providers with their time to live."""
 
+import os
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
 from headerloom.functions import ed25519
-from headerloom.operators import dkim
+from headerloom.operators import answers, dkim
 
 #: RFC 8032, 7.1, tests 1 to 3: seed, key, message, signature.
 VECTORS = (
@@ -43,3 +48,56 @@ def test_signature_of_the_standard_with_kinds_of_keys(spark):
         keys = spark.createDataFrame([("brisbane._domainkey.football.example.com", 0, value, False)], "name string, seq int, value string, unavailable boolean")
         got = {r.msg_id: r.outcome for r in dkim.verify_dkim(rows, keys).collect()}
         assert got == {k: "verified_pass" if k in passed else "verified_fail" for k in ("good", "fields", "added", "short")}
+
+
+NOW = datetime(2025, 2, 3, 12)
+RIGHT = '{"reputation": "low", "suspicious": true}'
+
+
+def kept_rows(spark, *rows):
+    return spark.createDataFrame([("emailrep", "email", ioc, NOW - timedelta(seconds=age), status, True, "low", True) for ioc, age, status in rows], answers.KEPT)
+
+
+def test_only_what_is_new_failed_or_expired_is_asked(spark):
+    kept = kept_rows(spark, ("a", 3599, "success"), ("b", 3600, "success"), ("c", 1, "timeout"), ("d", -1, "success"), ("e", 0, "success"), ("a", 10, "success"))
+    wanted = spark.createDataFrame([("emailrep", "email", i) for i in (*"abcdefa", None)], "provider string, kind string, ioc string")
+    now = F.lit(NOW)
+    assert sorted(r.ioc for r in answers.to_ask(wanted, kept, now).collect()) == ["b", "c", "d", "f"]
+    fresh = spark.createDataFrame([("emailrep", "email", "b", NOW, "success", False, "high", False), ("emailrep", "email", "c", NOW, "rate_limited", None, None, None), ("emailrep", "email", "a", NOW, "success", False, "high", False)], answers.KEPT)
+    held = {r.ioc: (r.asked_at, r.malicious) for r in answers.renewed(kept, fresh, now).collect()}
+    assert held == {"a": (NOW, False), "b": (NOW, False), "e": (NOW, True)}
+    got = {r.ioc: (r.status, r.malicious, r.cached) for r in answers.answered(wanted, kept, fresh, now).collect()}
+    assert got == {"a": ("success", True, True), "b": ("success", False, False), "c": ("rate_limited", None, False), "d": ("disabled", None, False), "e": ("success", True, True), "f": ("disabled", None, False)}
+    fixtures = spark.createDataFrame([("emailrep", "email", "f", False, "high", False)], "provider string, kind string, ioc string, malicious boolean, reputation string, suspicious boolean")
+    marked = {r.ioc: r.status for r in answers.answered(wanted, kept, fresh, now, fixtures=fixtures).collect()}
+    assert marked == {"a": "success", "b": "disabled", "c": "disabled", "d": "disabled", "e": "success", "f": "demo_fixture"}
+    nothing = kept.limit(0)
+    assert answers.to_ask(wanted, nothing, now).count() == 6 and answers.answered(wanted.limit(0), nothing, nothing, now).count() == 0
+
+
+def test_stream_asks_again_after_a_failure_and_after_the_time_to_live(spark, tmp_path):
+    log = str(tmp_path / "log")
+    time_, broken = [NOW], str(tmp_path / "broken")
+
+    def call(provider, kind, ioc):
+        with open(log, "a") as f:
+            f.write(ioc + "\n")
+        if ioc == "down" and os.path.exists(broken):
+            raise TimeoutError
+        return 200, RIGHT
+
+    def run(name, iocs):
+        spark.createDataFrame([("emailrep", "email", i) for i in iocs], "provider string, kind string, ioc string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema("provider string, kind string, ioc string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        open(log, "w").close()
+        answers.stream_answers(stream, call, str(tmp_path / "kept"), str(tmp_path / "check"), lambda: time_[0]).awaitTermination(120)
+        return sorted(open(log).read().split())
+
+    open(broken, "w").close()
+    assert run("1", ["up", "down", "up"]) == ["down", "up"]
+    os.remove(broken)
+    time_[0] = NOW + timedelta(seconds=3000)
+    assert run("2", ["up", "down", "new"]) == ["down", "new"]
+    time_[0] = NOW + timedelta(seconds=3600)
+    assert run("3", ["up", "down", "new"]) == ["up"]
+    assert {r.ioc for r in spark.read.parquet(str(tmp_path / "kept" / "batch=2")).collect()} == {"up", "down", "new"}
