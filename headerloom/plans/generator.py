@@ -185,3 +185,29 @@ def provider_responses(lineitem: DataFrame) -> DataFrame:
      else concat('{"data": {"attributes": {"reputation": 1, "last_analysis_stats": {"malicious": ', l_linenumber % 3, ', "suspicious": 0, "harmless": 60}}}}') end"""
     rows = lineitem.selectExpr("*", "l_suppkey % 3 + 1 as p", "element_at(array(200, 200, 200, 200, 404, 401, 429, 500, null), cast(l_orderkey % 9 as int) + 1) as code")
     return rows.selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "element_at(array('abuseipdb', 'emailrep', 'virustotal'), cast(p as int)) as provider", "element_at(array('ipv4', 'email', 'domain'), cast(p as int)) as kind", "concat('i', l_partkey % 400) as ioc", "code", f"if(code = 200, {body}, null) as body", "cast(l_shipdate as timestamp) as asked_at")
+
+
+def assessment_rows(orders: DataFrame) -> DataFrame:
+    """Rows for ``rules.assess``, one for each order: what is odd about a message follows from bits of o_orderkey and o_custkey.
+
+    By o_orderkey % 6: 0 nothing odd and nothing recorded, 1 nothing odd and all checked, 2 and 3 an eighth, 4 and 5 a quarter of all oddities.
+    """
+    bit = lambda word, i: f"((shiftright({word}, {i}) & 1) = 1)"
+    on = lambda i: f"(m > 1 and {bit('v', i)} and {bit('w', i)} and (m > 3 or {bit('x', i)}))"
+    two = lambda word, i, values: f"element_at(array({values}), cast(shiftright({word}, {i}) & 3 as int) + 1)"
+    checked = lambda i, good: f"case when not verified then null when {good} then 'verified_pass' when {on(i)} then 'verified_fail' when {bit('v', i + 11)} then 'verified_pass' else 'not_possible' end"
+    said, aligned = "'pass', 'fail', 'softfail', 'none'", "'exact', 'organizational', 'mismatch', 'unknown'"
+    listed = lambda i, value: f"if({on(i)}, array('{value}'), cast(array() as array<string>))"
+    org = lambda i: f"case when {on(i)} then 'b.example' when {bit('x', i)} then 'a.example' end"
+    rows = orders.selectExpr("o_orderkey as k", "o_orderkey % 6 as m", "o_orderkey * 2654435761 % 4294967296 as v", "(o_orderkey + o_custkey) * 2246822519 % 4294967296 as w", "(o_orderkey + 3 * o_custkey) * 3266489917 % 4294967296 as x")
+    rows = rows.selectExpr("*", f"{bit('v', 8)} or m in (1, 2) as verified", f"if(m = 0 or {on(12)}, 0, 3) as n_evidence", f"if({bit('v', 27)}, 3, 0) as n_hops")
+    return rows.selectExpr(
+        "cast(k as string) as msg_id", "verified", "n_evidence", "n_hops", "'a.example' as from_domain", "'a.example' as from_org", "'e.example' as envelope_domain", "'192.0.2.1' as connecting_ip", "0 as least_delay",
+        f"{checked(9, 'm = 1')} as spf_outcome", f"{checked(10, 'm = 1')} as dmarc_outcome", f"{checked(11, 'false')} as dkim_outcome",
+        *[f"if(n_evidence > 0, {two('w', i, said)}, null) as asserted_{n}" for n, i in (("spf", 20), ("dkim", 22), ("dmarc", 24))],
+        f"if(m = 1, 'exact', {two('v', 23, aligned)}) as spf_alignment", f"if(m = 1, 'subdomain', {two('v', 25, aligned)}) as dkim_alignment", f"{listed(13, 'spf')} as untrusted_passes", f"{on(14)} as dmarc_no_record",
+        *[f"{org(i)} as {n}_org" for n, i in (("reply_to", 15), ("return_path", 16), ("message_id", 17), ("display", 18))], f"{bit('w', 26)} as message_id_on_route", f"{listed(19, 'subject')} as duplicates",
+        f"if({on(27)}, named_struct('matched', 'c.example', 'technique', 'homoglyph'), null) as lookalike", f"if({on(28)}, array('punycode'), array('deep')) as from_flags", f"if({on(29)}, 1, 0) as n_skews",
+        f"if(n_hops = 0 or {on(30)}, null, 1) as trusted_hop", f"if({on(31)}, 2, 0) as n_plain_hops", f"{on(8)} as fcrdns_checked", f"{bit('x', 10)} as fcrdns_confirmed", f"{listed(25, 'zone.example')} as listed_zones",
+        *[f"if({on(i)}, {n}, 0) as n_{c}" for c, i, n in (("agreed", 20, 1), ("single", 21, 2), ("unanswered", 22, 3))], *[f"if({on(i)}, '{c}@a.example', null) as {c}_email" for c, i in (("poor", 23), ("good", 24))],
+    )

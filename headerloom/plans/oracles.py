@@ -119,7 +119,60 @@ kept AS (SELECT * FROM early WHERE n = 1),
 late AS (SELECT *, row_number() OVER (PARTITION BY provider, kind, ioc ORDER BY status <> 'success', status, malicious NULLS FIRST, reputation NULLS FIRST, suspicious NULLS FIRST) AS n FROM t WHERE l_shipdate > DATE '1995-06-17')
 """
 
+_BITS = "WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, o_orderkey % 6 AS m, o_orderkey::BIGINT * 2654435761 % 4294967296 AS v, (o_orderkey + o_custkey)::BIGINT * 2246822519 % 4294967296 AS w, (o_orderkey + 3 * o_custkey)::BIGINT * 3266489917 % 4294967296 AS x FROM orders)"
+
+
+def _bit(word: str, i: int) -> str:
+    return f"({word} // {2**i} % 2 = 1)"
+
+
+def _on(i: int) -> str:
+    """Whether an oddity is there: the bits in all words, or, for m over 3, in two."""
+    return f"(m > 1 AND {_bit('v', i)} AND {_bit('w', i)} AND (m > 3 OR {_bit('x', i)}))"
+
+
+#: (id, category, strength, weight, condition over the columns of ``c``).
+_EVERY_RULE = (
+    ("AUTH-001", "authentication", 4, 35, "dmarc = 'f'"), ("AUTH-002", "authentication", 3, 25, "spf = 'f'"), ("AUTH-003", "authentication", 3, 22, "dkim = 'f'"), ("AUTH-004", "authentication", 3, 20, _on(13)), ("AUTH-005", "authentication", 2, 12, "silent"),
+    ("AUTH-006", "domain_alignment", 2, 15, "(a_spf = 0 OR spf = 'p') AND al_spf = 2"), ("AUTH-007", "domain_alignment", 2, 15, "(a_dkim = 0 OR dkim = 'p') AND al_dkim = 2"),
+    ("AUTH-008", "authentication", 3, 25, " OR ".join(f"(a_{n} = 0 AND {n} = 'f') OR (a_{n} IN (1, 2) AND {n} = 'p')" for n in ("spf", "dkim", "dmarc"))), ("AUTH-009", "authentication", 1, 5, _on(14)),
+    ("AUTH-010", "authentication", 0, -18, "spf = 'p' AND dmarc = 'p' AND (al_spf < 2 OR al_dkim < 2)"), ("IDN-001", "sender_identity", 2, 18, _on(15)), ("IDN-002", "sender_identity", 1, 8, _on(16)),
+    ("IDN-003", "header_anomalies", 1, 8, f"{_on(17)} AND NOT {_bit('w', 26)}"), ("IDN-004", "impersonation", 3, 25, _on(18)), ("IDN-005", "header_anomalies", 2, 14, _on(19)), ("IMP-001", "impersonation", 3, 30, _on(27)), ("IMP-002", "impersonation", 2, 18, _on(28)),
+    ("RTE-001", "mail_route", 0, 3, _on(29)), ("RTE-002", "mail_route", 2, 10, f"hops AND {_on(30)}"), ("RTE-003", "mail_route", 1, 7, f"{_on(8)} AND NOT {_bit('x', 10)}"), ("RTE-004", "mail_route", 0, 3, _on(31)),
+    ("TI-001", "threat_intelligence", 3, 25, _on(25)), ("TI-002", "threat_intelligence", 4, 35, _on(20)), ("TI-003", "threat_intelligence", 2, 15, _on(21)), ("TI-004", "threat_intelligence", 0, 0, _on(22)),
+    ("REP-001", "email_reputation", 2, 18, _on(23)), ("REP-002", "email_reputation", 0, -10, _on(24)), ("BEC-001", "possible_bec", 3, 28, f"(a_dmarc = 0 OR dmarc = 'p' OR a_spf = 0 OR spf = 'p') AND ({_on(15)} OR {_on(27)} OR {_on(18)})"),
+)
+_EVERY_CAP = "CASE category WHEN 'authentication' THEN 45 WHEN 'threat_intelligence' THEN 40 WHEN 'impersonation' THEN 35 WHEN 'sender_identity' THEN 30 WHEN 'possible_bec' THEN 30 WHEN 'domain_alignment' THEN 25 WHEN 'header_anomalies' THEN 15 ELSE 20 END"
+
+
+def _outcome(i: int, good: str) -> str:
+    return f"CASE WHEN NOT verified THEN '-' WHEN {good} THEN 'p' WHEN {_on(i)} THEN 'f' WHEN {_bit('v', i + 11)} THEN 'p' ELSE '-' END"
+
+
+def _exits() -> str:
+    rows = ", ".join(f"CASE WHEN {when} THEN {{'id': '{i}', 'c': '{c}', 's': {s}, 'w': {w}}} END" for i, c, s, w, when in _EVERY_RULE)
+    claim = lambda i: f"CASE WHEN silent THEN 9 ELSE w // {2**i} % 4 END"
+    has = lambda *ids: " OR ".join(f"bool_or(id = '{i}')" for i in ids)
+    return f"""{_BITS},
+b AS (SELECT *, {_bit("v", 8)} OR m IN (1, 2) AS verified, m = 0 OR {_on(12)} AS silent, {_bit("v", 27)} AS hops FROM o),
+c AS (SELECT *, {_outcome(9, "m = 1")} AS spf, {_outcome(10, "m = 1")} AS dmarc, {_outcome(11, "false")} AS dkim, {claim(20)} AS a_spf, {claim(22)} AS a_dkim, {claim(24)} AS a_dmarc,
+  CASE WHEN m = 1 THEN 0 ELSE v // {2**23} % 4 END AS al_spf, CASE WHEN m = 1 THEN 1 ELSE v // {2**25} % 4 END AS al_dkim FROM b),
+f AS (SELECT msg_id, unnest([{rows}]) AS f FROM c),
+g AS (SELECT msg_id, f.id AS id, f.c AS category, f.s AS s, f.w AS w FROM f WHERE f IS NOT NULL),
+k AS (SELECT msg_id, category, least(coalesce(sum(w) FILTER (WHERE w > 0), 0), {_EVERY_CAP}) AS up, coalesce(sum(w) FILTER (WHERE w < 0), 0) AS down, coalesce(bool_or(w > 0), false) AS any_up FROM g GROUP BY msg_id, category),
+t AS (SELECT msg_id, least(100, greatest(0, sum(up) + sum(down))) AS score, count(*) FILTER (WHERE any_up) AS n FROM k GROUP BY 1),
+h AS (SELECT msg_id, string_agg(id, ',' ORDER BY id) AS rules, {has("AUTH-001", "AUTH-002", "AUTH-003", "AUTH-004")} AS bad, {has("TI-001", "TI-002", "TI-003")} AS known, {has("TI-002")} AS agreed, {has("IMP-001", "IDN-004")} AS posing, {has("AUTH-010")} AS clean, {has("BEC-001")} AS bec,
+  bool_or(s > 1) AS loud, bool_or(s > 1 AND id NOT IN ('AUTH-005', 'AUTH-009', 'RTE-002', 'TI-004')) AS solid FROM g GROUP BY 1),
+e AS (SELECT msg_id, coalesce(CAST(score AS INT), 0) AS score, coalesce(n, 0) AS n, coalesce(rules, '') AS rules, verified, CASE
+  WHEN silent AND NOT verified AND NOT hops AND NOT coalesce(solid, false) THEN 'inconclusive insufficient-evidence' WHEN bec THEN 'possible_bec authenticated-but-inconsistent-identity' WHEN bad AND (known OR posing) THEN 'likely_phishing auth-failure-with-corroboration'
+  WHEN agreed AND NOT clean THEN 'likely_phishing multi-provider-consensus' WHEN clean AND known THEN 'suspicious trusted-auth-with-adverse-intel-dampened' WHEN clean AND NOT loud THEN 'likely_legitimate verified-aligned-and-clean'
+  WHEN score >= 50 THEN 'likely_phishing' WHEN score >= 25 THEN 'suspicious' WHEN silent AND NOT verified THEN 'inconclusive nothing-established' ELSE 'likely_legitimate' END AS way
+  FROM c LEFT JOIN t USING (msg_id) LEFT JOIN h USING (msg_id))
+SELECT msg_id, score, string_split(way, ' ')[1] AS verdict, string_split(way, ' ')[2] AS pattern, CASE WHEN verified AND n >= 3 THEN 'high' WHEN n >= 3 OR verified AND n >= 1 THEN 'medium' ELSE 'low' END AS confidence, rules FROM e"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "risk_exits": _exits(),
     "route_transit": f"{_HOPS} SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, count(hop) AS n_hops, CAST(sum(sec - b_sec) FILTER (WHERE sec >= b_sec) AS DOUBLE) AS transit, count(*) FILTER (WHERE sec < b_sec) AS n_skews FROM orders LEFT JOIN p ON l_orderkey = o_orderkey GROUP BY 1",
     "route_hops": f"{_HOPS} SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, hop AS hop_idx, 'h' || l_suppkey || '.example.net' AS from_host, 'r' || l_suppkey || '.example.org' AS from_rdns, 'mx' || l_partkey % 5 || CASE WHEN l_partkey % 3 = 0 THEN '.corp.example' ELSE '.relay.example' END AS by_host, protocol, 'q' || l_partkey AS queue_id, '<u' || l_suppkey || '@to.example>' AS for_recipient, ip AS primary_ip, ip_class AS primary_ip_class, sec AS unix_seconds, zone AS original_offset FROM h",
     "route_tls": f"{_HOPS} SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, count(*) FILTER (WHERE protocol = 'ESMTPS') AS n_tls, count(*) FILTER (WHERE protocol <> 'ESMTPS') AS n_plain FROM h GROUP BY 1",

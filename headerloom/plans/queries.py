@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from headerloom.config import EngineConfig
 from headerloom.functions import net, suffixes
 from headerloom.operators import answers, auth, dkim, headers, identity, intel, ioc, lookalike, route, rules, spf, vendor, verify, warnings
-from headerloom.plans.generator import dns_tables, order_messages, provider_responses, signed_messages, signing_keys, spf_checks, spf_tables, suffix_table
+from headerloom.plans.generator import assessment_rows, dns_tables, order_messages, provider_responses, signed_messages, signing_keys, spf_checks, spf_tables, suffix_table
 from headerloom.plans.pipeline import analyze, markdown, reports
 
 CONFIG = EngineConfig(trusted_domains=("corp.example",), protected_domains=("nation_7.example", "nation_12.example", "nation_21.example"))
@@ -307,6 +307,12 @@ def risk_score(spark, sf):
     return _analysis(spark, sf, OFFLINE).assessed.select("msg_id", "score", "verdict", "confidence")
 
 
+def risk_exits(spark, sf):
+    """All rules and all ways to a verdict, over assessments in which anything may be odd."""
+    ids = F.array_join(F.array_sort(F.transform("findings", lambda f: f["rule_id"])), ",")
+    return rules.assess(assessment_rows(_table(spark, sf, "orders"))).select("msg_id", "score", "verdict", "pattern", "confidence", ids.alias("rules"))
+
+
 def risk_verdict(spark, sf):
     return _analysis(spark, sf).assessed.groupBy("verdict", "pattern", "confidence").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
@@ -342,6 +348,6 @@ QUERIES = {
     for f in (
         route_transit, route_hops, route_tls, route_delays, route_trust_boundary, route_internal_to_public, header_fields, header_duplicates, header_unparsable, header_warnings, auth_evidence, auth_trust, auth_alignment, auth_spoofed_name, auth_arc_latest,
         dkim_domains, identity_compare, vendor_decode, ioc_dedupe, ioc_all_kinds, ioc_email, ioc_url, ioc_domain, ioc_defang, ip_extract, ip_classify, dnsbl_name, url_host, domain_normalize, domain_org, domain_compare, domain_skeleton,
-        domain_lookalike, domain_watched, spf_verify, spf_budget, dkim_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, intel_responses, intel_reuse, intel_to_ask, rule_findings, risk_score, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
+        domain_lookalike, domain_watched, spf_verify, spf_budget, dkim_verify, dmarc_verify, fcrdns, dnsbl, intel_topk, intel_consensus, intel_responses, intel_reuse, intel_to_ask, rule_findings, risk_score, risk_exits, risk_verdict, fleet_findings, recommendations, report_json, report_markdown, rfc2047,
     )
 }
