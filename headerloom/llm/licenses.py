@@ -12,7 +12,9 @@ Nothing is shuffled: a document is one row throughout. Only documents with one
 of the words that every known sentence contains are cut up, and only pieces of documents in which
 a sentence may begin go to Python, where a tree of the sentences' words is walked from each such place: the work
 grows with the text. A sentence with a name in it, free between fixed parts, is written with a
-fixed name before it is looked up.
+fixed name before it is looked up. An SPDX tag with an expression (OR, AND, WITH, parentheses) counts as one
+tag for each licence in it, in order; exceptions after WITH are left out, and the kind is that of the strictest licence
+even where there is a choice.
 
 Edge cases: a null or empty text has no licence; repeated rows each keep their
 row; an empty table gives an empty result; columns besides the id and the text
@@ -33,6 +35,10 @@ from headerloom.llm.licence_texts import KEYWORDS, KINDS, NAMED, RULES, SENTENCE
 
 #: A run of marks is left at once if no space follows, however long it is.
 _BREAK = r"(?<![.!?])[.!?]++\s+|[\r\n]+"
+TAG = "spdx-license-identifier:"
+#: A tag after the marks of a comment; what makes its value an expression; an exception; the words of an expression.
+_TAGGED, _COMPOUND, _EXCEPTION, _WORD = f"^[^a-z0-9]*{TAG}", r"[ \t)](or|and|with)[ \t(]|[()]", r"[ \t)]with[ \t]+[a-z0-9.-]+", "[a-z0-9][a-z0-9.+-]*"
+_OPERATORS = ("or", "and", "with")
 
 
 def normalised(piece: Column) -> Column:
@@ -83,6 +89,15 @@ def _with_fixed_names(text: Column) -> Column:
     return text
 
 
+def _tags(piece: Column) -> Column:
+    """The piece in an array, or one tag for each licence if it is a tag with an expression."""
+    low = ascii_lower(piece)
+    value = F.regexp_replace(low, _TAGGED, "")
+    words = F.regexp_extract_all(F.regexp_replace(value, _EXCEPTION, " "), F.lit(_WORD), F.lit(0))
+    tags = F.transform(F.filter(words, lambda w: ~w.isin(*_OPERATORS)), lambda w: F.concat(F.lit(f"{TAG} "), w))
+    return F.when(low.rlike(_TAGGED) & value.rlike(_COMPOUND), tags).otherwise(F.array(piece))
+
+
 def with_sentence_ids(docs: DataFrame, id_col: str, text_col: str, sentences: dict[str, str] = SENTENCES) -> DataFrame:
     """``id_col`` and ids: the identifiers of each text's known sentences, in order.
 
@@ -95,7 +110,8 @@ def with_sentence_ids(docs: DataFrame, id_col: str, text_col: str, sentences: di
     begins = F.array(*[F.lit(f"{s} ") for s in sentences])
     lower = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(id_col, _with_fixed_names(F.col("text")).alias("text"), F.lower("text").alias("low"))
     marked = reduce(or_, [F.contains(F.col("low"), F.lit(k)) for k in KEYWORDS])
-    raw = lower.select(id_col, F.when(marked, F.split("text", _BREAK)).otherwise(F.array().cast("array<string>")).alias("raw"))
+    raw = lower.select(id_col, F.when(marked, F.split("text", _BREAK)).otherwise(F.array().cast("array<string>")).alias("raw"), F.contains("low", F.lit(TAG)).alias("tagged"))
+    raw = raw.select(id_col, F.when(F.col("tagged"), F.flatten(F.transform("raw", _tags))).otherwise(F.col("raw")).alias("raw"))
     pieces = raw.select(id_col, F.filter(F.transform("raw", normalised), lambda p: p != "").alias("p"))
     # A piece that begins no known sentence can't be the first line of one; few are left.
     starts = pieces.select(id_col, "p", F.filter(F.transform("p", lambda p, i: F.when(F.exists(begins, lambda s: F.startswith(s, F.concat(p, F.lit(" ")))), i)), lambda i: i.isNotNull()).alias("at"))
@@ -135,6 +151,10 @@ def oracle() -> str:
     named = "coalesce(text, '')"
     for _, pattern, fixed in NAMED:
         named = f"regexp_replace({named}, {quote(pattern)}, {quote(fixed)}, 'g')"
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    value = f"regexp_replace({lower('p')}, '{_TAGGED}', '')"
+    words = f"list_filter(regexp_extract_all(regexp_replace({value}, '{_EXCEPTION}', ' ', 'g'), '{_WORD}'), lambda w: w NOT IN {_OPERATORS})"
+    tags = f"flatten(list_transform(raw, lambda p: CASE WHEN regexp_matches({lower('p')}, '{_TAGGED}') AND regexp_matches({value}, '{_COMPOUND}') THEN list_transform({words}, lambda w: '{TAG} ' || w) ELSE [p] END))"
     steps, left = [], "s0"
     for k, rule in enumerate(RULES):
         mark = "".join(f"<{s}>" for s in rule.sentences)
@@ -145,7 +165,7 @@ def oracle() -> str:
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
 rows AS (SELECT row_number() OVER () AS n, doc_id, string_split_regex({named}, '[.!?]+\\s+|[\\r\\n]+') AS raw FROM documents),
-pieces AS (SELECT n, doc_id, list_filter(list_transform(raw, lambda p: trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))), lambda p: p <> '') AS p FROM rows),
+pieces AS (SELECT n, doc_id, list_filter(list_transform({tags}, lambda p: trim(regexp_replace({lower("p")}, '[^a-z0-9]+', ' ', 'g'))), lambda p: p <> '') AS p FROM rows),
 places AS MATERIALIZED (SELECT n, p, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM pieces),
 begun AS MATERIALIZED (SELECT n, p, i, sentence, id FROM places JOIN known ON starts_with(sentence || ' ', piece || ' ')),
 tried AS MATERIALIZED (SELECT *, unnest(range(1, len(string_split(sentence, ' ')) + 1)) AS k FROM begun),

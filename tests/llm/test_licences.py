@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,31 @@ def test_it_does_not_matter_where_lines_end(spark):
     got = {r.doc_id: r.licenses for r in licenses.licences(docs).select("doc_id", F.col("licenses")).collect()}
     wrong = {k: v for k, v in got.items() if v != TEXTS[k.rsplit(" ", 1)[0]][1]}
     assert not wrong
+
+
+#: Tags with expressions, the licences in them and the kind of the strictest.
+EXPRESSIONS = {
+    "// SPDX-License-Identifier: Apache-2.0 OR MIT": ("Apache-2.0,MIT", "permissive"),
+    " * spdx-license-identifier: (MIT AND BSD-3-Clause) */": ("BSD-3-Clause,MIT", "permissive"),
+    "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MIT": ("GPL-2.0,MIT", "copyleft"),
+    "SPDX-License-Identifier: (GPL-2.0+ WITH MIT)": ("GPL-2.0", "copyleft"),
+    "<!-- SPDX-License-Identifier: MIT or unheard-of and more -->": ("MIT", "permissive"),
+    "SPDX-License-Identifier: MIT": ("MIT", "permissive"),
+    "SPDX-License-Identifier: OR AND WITH": ("", "none"),
+    "SPDX-License-Identifier:": ("", "none"),
+    "see SPDX-License-Identifier: Apache-2.0 OR MIT": ("", "none"),
+    "SPDX-License-Identifier: ((((" + "(" * 250_000: ("", "none"),
+    "SPDX-License-Identifier: MIT OR" + " " * 250_000 + "with": ("MIT", "permissive"),
+    "SPDX-License-Identifier: a OR b\r\nMIT\nSPDX-License-Identifier: MIT AND ISC": ("ISC,MIT", "permissive"),
+}
+
+
+def test_expressions_of_tags_in_spark_and_sql(spark):
+    rows = list(enumerate(EXPRESSIONS))
+    got = licenses.licences(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().sort_values("doc_id")
+    assert dict(zip(EXPRESSIONS, zip(got.licenses, got.kind, strict=True), strict=True)) == EXPRESSIONS
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    expected = con.execute(licenses.oracle()).df().sort_values("doc_id")
+    assert expected.to_dict("list") == got[list(expected.columns)].to_dict("list")
