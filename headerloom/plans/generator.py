@@ -202,7 +202,7 @@ def assessment_rows(orders: DataFrame) -> DataFrame:
     rows = orders.selectExpr("o_orderkey as k", "o_orderkey % 6 as m", "o_orderkey * 2654435761 % 4294967296 as v", "(o_orderkey + o_custkey) * 2246822519 % 4294967296 as w", "(o_orderkey + 3 * o_custkey) * 3266489917 % 4294967296 as x")
     rows = rows.selectExpr("*", f"{bit('v', 8)} or m in (1, 2) as verified", f"if(m = 0 or {on(12)}, 0, 3) as n_evidence", f"if({bit('v', 27)}, 3, 0) as n_hops")
     return rows.selectExpr(
-        "cast(k as string) as msg_id", "verified", "n_evidence", "n_hops", "'a.example' as from_domain", "'a.example' as from_org", "'e.example' as envelope_domain", "'192.0.2.1' as connecting_ip", "0 as least_delay",
+        "cast(k as string) as msg_id", "verified", "n_evidence", "n_hops", "'a.example' as from_domain", "'a.example' as from_org", "'e.example' as envelope_domain", "'192.0.2.1' as connecting_ip", "0 as least_delay", "'3 timeout' as unanswered",
         f"{checked(9, 'm = 1')} as spf_outcome", f"{checked(10, 'm = 1')} as dmarc_outcome", f"{checked(11, 'false')} as dkim_outcome",
         *[f"if(n_evidence > 0, {two('w', i, said)}, null) as asserted_{n}" for n, i in (("spf", 20), ("dkim", 22), ("dmarc", 24))],
         f"if(m = 1, 'exact', {two('v', 23, aligned)}) as spf_alignment", f"if(m = 1, 'subdomain', {two('v', 25, aligned)}) as dkim_alignment", f"{listed(13, 'spf')} as untrusted_passes", f"{on(14)} as dmarc_no_record",

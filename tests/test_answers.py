@@ -3,10 +3,12 @@
 import os
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from headerloom.config import EngineConfig, read_settings
 from headerloom.functions import ed25519
-from headerloom.operators import answers, dkim
+from headerloom.operators import answers, dkim, intel
 
 #: RFC 8032, 7.1, tests 1 to 3: seed, key, message, signature.
 VECTORS = (
@@ -101,3 +103,19 @@ def test_stream_asks_again_after_a_failure_and_after_the_time_to_live(spark, tmp
     time_[0] = NOW + timedelta(seconds=3600)
     assert run("3", ["up", "down", "new"]) == ["up"]
     assert {r.ioc for r in spark.read.parquet(str(tmp_path / "kept" / "batch=2")).collect()} == {"up", "down", "new"}
+
+
+def test_lookups_without_an_answer_are_told_by_status(spark):
+    rows = [("m", "p", "domain", f"i{i}", 0, s, None, None, None) for i, s in enumerate(("timeout", "disabled", "unknown", "timeout", "success"))] + [("n", "p", "domain", "i", 0, "success", False, None, None)]
+    found = spark.createDataFrame(rows, "msg_id string, provider string, kind string, ioc string, first int, status string, malicious boolean, reputation string, suspicious boolean")
+    assert {r.msg_id: (r.n_unanswered, r.unanswered) for r in intel.message_intel(found).collect()} == {"m": (3, "1 disabled, 2 timeout"), "n": (0, "")}
+
+
+def test_settings_come_from_names_and_files(tmp_path):
+    (tmp_path / "settings").write_text("# ours\nHEADERLOOM_TRUSTED_DOMAINS = a.example, ,b.example\n\nexport HEADERLOOM_LOOKUPS='url=7'\nHEADERLOOM_ENRICHMENT_ENABLED=off\nHEADERLOOM_MAX_HEADER_BYTES=\"99\"\nPATH=/bin\n")
+    config = EngineConfig.from_settings(read_settings(str(tmp_path / "settings")))
+    assert (config.trusted_domains, config.lookups["url"], config.lookups["ipv4"], config.enrichment_enabled, config.verification_enabled, config.max_header_bytes) == (("a.example", "b.example"), 7, 10, False, True, 99)
+    assert EngineConfig.from_settings({}) == EngineConfig()
+    for bad in ({"HEADERLOOM_TRUSTED": "a"}, {"HEADERLOOM_ENRICHMENT_ENABLED": "maybe"}, {"HEADERLOOM_LOOKUPS": "fax=1"}, {"HEADERLOOM_MAX_HEADER_BYTES": ""}, {"HEADERLOOM_SUFFIXES": "com"}):
+        with pytest.raises(ValueError):
+            EngineConfig.from_settings(bad)
