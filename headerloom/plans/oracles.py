@@ -219,8 +219,8 @@ SELECT 'mail.' || raw || '.example' AS domain, arg_min(t, rank) || '.example' AS
     "ioc_defang": "SELECT page_id, 'hxxp' || substring(replace(url, '.', '[.]'), 5) AS defanged FROM pages",
     "intel_topk": "WITH i AS (SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, list_extract(['url', 'email', 'domain'], l_linenumber % 3 + 1) AS kind, 'i' || l_partkey % 50 AS normalized, min(l_partkey % 50) AS place, bool_and(l_suppkey % 5 <> 0) AS ok FROM lineitem GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY msg_id, kind ORDER BY place) AS n FROM i WHERE ok) SELECT msg_id, kind, normalized FROM r WHERE n <= CASE kind WHEN 'email' THEN 2 ELSE 1 END",
     "intel_consensus": "SELECT CAST(l_orderkey AS VARCHAR) AS msg_id, 'domain' AS kind, 'i' || l_partkey % 3 AS ioc, count(DISTINCT l_suppkey % 3) AS n_providers, string_agg(DISTINCT list_extract(['abuseipdb', 'emailrep', 'virustotal'], CAST(l_suppkey % 3 + 1 AS INT)), ',' ORDER BY list_extract(['abuseipdb', 'emailrep', 'virustotal'], CAST(l_suppkey % 3 + 1 AS INT))) AS providers FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N' GROUP BY 1, 2, 3",
-    "intel_responses": f"{_SAID} SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, provider, status, malicious, reputation, suspicious FROM t",
-    "intel_reuse": f"{_SAID} SELECT w.provider, w.kind AS ioc_type, w.ioc, coalesce(k.status, l.status, 'disabled') AS status, CASE WHEN k.status IS NOT NULL THEN k.malicious ELSE l.malicious END AS malicious, k.status IS NOT NULL AS cached FROM w LEFT JOIN kept k ON k.provider = w.provider AND k.kind = w.kind AND k.ioc = w.ioc LEFT JOIN late l ON l.provider = w.provider AND l.kind = w.kind AND l.ioc = w.ioc AND l.n = 1",
+    "intel_responses": f"{_SAID} SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, provider, status, CAST(malicious AS VARCHAR) AS malicious, reputation, CAST(suspicious AS VARCHAR) AS suspicious FROM t",
+    "intel_reuse": f"{_SAID} SELECT w.provider, w.kind AS ioc_type, w.ioc, coalesce(k.status, l.status, 'disabled') AS status, CAST(CASE WHEN k.status IS NOT NULL THEN k.malicious ELSE l.malicious END AS VARCHAR) AS malicious, k.status IS NOT NULL AS cached FROM w LEFT JOIN kept k ON k.provider = w.provider AND k.kind = w.kind AND k.ioc = w.ioc LEFT JOIN late l ON l.provider = w.provider AND l.kind = w.kind AND l.ioc = w.ioc AND l.n = 1",
     "intel_to_ask": f"{_SAID} SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.provider = w.provider AND k.kind = w.kind AND k.ioc = w.ioc)",
     "spf_verify": """WITH c AS (SELECT o_orderkey AS msg_id, o_custkey % 40 AS n, o_orderkey % 3 AS i, o_orderkey % 256 AS x FROM orders),
 r AS (SELECT msg_id, CASE WHEN n % 10 = 4 AND n % 4 <> 3 THEN 'temperror' WHEN n % 4 = 3 THEN 'none' WHEN n % 4 = 0 THEN CASE WHEN i = 0 THEN 'pass' ELSE 'fail' END WHEN n % 4 = 1 THEN CASE WHEN i = 1 AND x >= 128 THEN 'pass' ELSE 'softfail' END ELSE CASE WHEN i = 0 THEN 'pass' ELSE 'neutral' END END AS result FROM c)

@@ -238,7 +238,9 @@ def dmarc_verify(spark, sf):
 
 
 def dkim_verify(spark, sf):
-    return dkim.verify_dkim(signed_messages(_table(spark, sf, "orders")), signing_keys(spark)).select("msg_id", "domain", "selector", "scope", "outcome")
+    # Signing costs far more than the bytes of the orders suggest.
+    orders = _table(spark, sf, "orders").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    return dkim.verify_dkim(signed_messages(orders), signing_keys(spark)).select("msg_id", "domain", "selector", "scope", "outcome")
 
 
 def _supplier_ips(spark, sf):
@@ -272,7 +274,7 @@ def intel_consensus(spark, sf):
 
 def intel_responses(spark, sf):
     """Responses of providers as answers."""
-    return answers.read_responses(provider_responses(_table(spark, sf, "lineitem"))).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "provider", "status", "malicious", "reputation", "suspicious")
+    return answers.read_responses(provider_responses(_table(spark, sf, "lineitem"))).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "provider", "status", F.col("malicious").cast("string").alias("malicious"), "reputation", F.col("suspicious").cast("string").alias("suspicious"))
 
 
 def _kept(spark, sf):
@@ -286,7 +288,7 @@ def _kept(spark, sf):
 def intel_reuse(spark, sf):
     """Every lookup answered by a success that is kept, else by what came later."""
     told, kept, later, now, ttl = _kept(spark, sf)
-    return answers.answered(told, kept, later, now, ttl).select("provider", "ioc_type", "ioc", "status", "malicious", "cached")
+    return answers.answered(told, kept, later, now, ttl).select("provider", "ioc_type", "ioc", "status", F.col("malicious").cast("string").alias("malicious"), "cached")
 
 
 def intel_to_ask(spark, sf):
