@@ -5,7 +5,7 @@ import ipaddress
 from pyspark.sql import functions as F
 
 from headerloom.functions import net
-from headerloom.operators import headers, route
+from headerloom.operators import headers, ioc, route
 from headerloom.plans.generator import order_messages
 
 
@@ -13,6 +13,18 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_are_refanged_once_and_only_kinds_asked_for_are_looked_for(spark):
+    text = "x: a@b.example. hxxp://c[.]example/d 192.0.2.1 (2001:DB8::1) mail[.]E.example _f@g.example a@h.example_i@j.example"
+    rows = spark.createDataFrame([("m", text), ("n", None), ("o", "plain words")], "k string, t string")
+    found = ioc.hits(rows, "k", "t", [])
+    assert {(r.kind, r.normalized) for r in found.collect()} == {
+        ("ipv4", "192.0.2.1"), ("ipv6", "2001:db8::1"), ("email", "a@b.example"), ("email", "_f@g.example"), ("email", "a@h.example"), ("url", "http://c.example/d"), ("domain", "mail.e.example"), ("domain", "j.example"),
+    }
+    assert _plan(found).count("bhxxp") == 1
+    only = ioc.hits(rows, "k", "t", [], ("ip",))
+    assert {r.kind for r in only.collect()} == {"ipv4", "ipv6"} and "a-zA-Z]{2,63}" not in _plan(only)
+
+
 def test_addresses_of_all_networks_have_their_class(spark):
     edges = []
     for name, networks in net.IPV4_CLASSES:
