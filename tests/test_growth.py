@@ -1,11 +1,13 @@
 """Work that was done more often than needed, and the same results without it."""
 
 import ipaddress
+import time
 
 from pyspark.sql import functions as F
 
 from headerloom.functions import net
 from headerloom.operators import headers, ioc, route
+from headerloom.plans import generator
 from headerloom.plans.generator import order_messages
 
 
@@ -53,3 +55,12 @@ def test_hosts_after_numbers_are_still_found(spark):
     messages = spark.createDataFrame([("m", line)], "msg_id string, raw_header string")
     hop = route.parse_received(headers.parse_fields(messages)).first()
     assert (hop.from_host, hop.from_rdns, hop.by_host, hop.primary_ip) == ("6mail.example", "real.example", "mx.example", "192.0.2.7")
+
+
+def test_a_signature_costs_a_bounded_number_of_products():
+    m = 3**325 % generator._P
+    for prime, bits in ((generator._P, 521), (generator._Q, 607)):
+        e = pow(generator._E, -1, prime - 1)
+        began = time.process_time()
+        assert generator._power(m, e, bits) == pow(m, e, prime)
+        assert time.process_time() - began < 0.5
