@@ -64,3 +64,25 @@ def test_a_signature_costs_a_bounded_number_of_products():
         began = time.process_time()
         assert generator._power(m, e, bits) == pow(m, e, prime)
         assert time.process_time() - began < 0.5
+
+
+def test_parts_grow_with_the_messages(spark, tiny, monkeypatch):
+    least = generator.dealt_parts(spark, tiny)
+    monkeypatch.setattr(generator, "PART", 100)
+    assert generator.dealt_parts(spark, tiny) == 15 > least
+    assert "hashpartitioning(cast(l_orderkey" in _plan(order_messages(spark, tiny)) and ", 15)" in _plan(order_messages(spark, tiny))
+
+
+def test_fields_are_read_once_for_encoded_words(spark):
+    rows = spark.createDataFrame([("m", "Subject: =?utf-8?B?w6Q=?=\nFrom: a@b.example\nTo: =?x")], "msg_id string, raw_header string")
+    found = headers.with_decoded(headers.parse_fields(rows))
+    assert {(r.name_lc, r.decoded_value) for r in found.collect()} == {("subject", "\u00e4"), ("from", None), ("to", "=?x")}
+    assert "Union" not in _plan(found)
+
+
+def test_names_are_taken_apart_once_for_all_watched(spark):
+    watched = ["nation_7.example", "nation_12.example"]
+    rows = spark.createDataFrame([("nation_1.example",), ("nat1on_7.example",), ("nation_7.example",), ("x.nation_12x.example",), (None,)], "d string")
+    found = rows.select("d", net.lookalike(F.col("d"), watched)["matched"].alias("m"))
+    assert {r.d: r.m for r in found.collect()} == {"nation_1.example": "nation_7.example", "nat1on_7.example": "nation_7.example", "nation_7.example": "nation_12.example", "x.nation_12x.example": "nation_12.example", None: None}
+    assert _plan(found).count("_accentless_names") <= 8
