@@ -5,8 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from headerloom.functions import net
-from headerloom.operators import headers, ioc, route
+from headerloom.functions import net, suffixes
+from headerloom.operators import headers, ioc, lookalike, route
 from headerloom.plans import generator
 from headerloom.plans.queries import QUERIES
 from headerloom.plans.generator import order_messages
@@ -95,3 +95,25 @@ def test_encoded_words_are_cut_in_one_pass(spark, tmp_path):
     found = QUERIES["rfc2047"](spark, str(tmp_path))
     assert {r.doc_id: r.decoded for r in found.collect()} == {1: "\u00e4b " * 6 + "\u00e4b", 2: "", 3: None, 4: "\U0001f600" * 21, 5: "0123456789", 6: "a b"}
     assert "sequence(" not in _plan(found)
+
+
+def test_forms_are_made_only_for_lengths_that_the_other_side_has(spark):
+    words = spark.createDataFrame([("abcdefgh",), ("abcdefg",), ("abcdefghijkl",), ("a",), ("",)], "w string")
+    lengths = F.array(F.lit(8))
+    filed = words.select("w", lookalike._filed(F.col("w"), False, (lengths, F.lit(True)), (lengths, F.lit(True)))).groupBy("w").count()
+    # One character masked, one left out, two masked; and of one character less, one masked of what is left as it is.
+    assert {r.w: r["count"] for r in filed.collect()} == {"abcdefgh": 8 + 8 + 28, "abcdefg": 1 + 7}
+
+
+def test_lookalikes_are_those_of_comparing_all_where_shapes_and_labels_differ_in_length(spark):
+    labels = ["paypal", "päypal", "xn--pypal-4ve", "paypa1", "paypa", "aypal", "lumenbank", "lumnbank", "1umenbank", "lumenbnak", "xlumenbanky", "lumenlumenbank", "abc", "abcd", "abdc", "xabcdx", "bücher", "xn--bcher-kva", "bucher", "buecher", "aaaaaaaa", "aaaaaa", "aaaaaaaaaa", ""]
+    names = [f"{x}.{s}" for x in labels for s in ("example", "com")] + ["a.b.paypal.example", "c.paypal.example"]
+    watched = [(f"{x}.{s}", (i * 7) % 5) for i, x in enumerate(labels) for s in ("example", "com") if x]
+    table = spark.createDataFrame(watched, "domain string, rank long")
+    rows = spark.createDataFrame([(n,) for n in names], "domain string")
+    found = {r.domain: (r.matched, r.technique) for r in lookalike.lookalikes(rows, table).collect()}
+    org = {r.domain: (r.org, r.rank) for r in table.select("domain", suffixes.organizational_domain(F.col("domain")).alias("org"), "rank").collect()}
+    in_order = [d for d in sorted(org, key=lambda d: (org[d][1], org[d][0]))]
+    hit = net.lookalike(F.col("domain"), in_order)
+    every = {r.domain: (r.h.matched, r.h.technique) for r in rows.select("domain", hit.alias("h")).where("h is not null").collect()}
+    assert found == every and len(found) > 30
