@@ -1,6 +1,7 @@
 """Work that was done more often than needed, and the same results without it."""
 
 import ipaddress
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -117,3 +118,13 @@ def test_lookalikes_are_those_of_comparing_all_where_shapes_and_labels_differ_in
     hit = net.lookalike(F.col("domain"), in_order)
     every = {r.domain: (r.h.matched, r.h.technique) for r in rows.select("domain", hit.alias("h")).where("h is not null").collect()}
     assert found == every and len(found) > 30
+
+
+def test_rules_are_compiled_in_methods_that_the_jvm_compiles_and_nothing_is_dealt(spark, tiny, capsys):
+    found = QUERIES["risk_exits"](spark, tiny)
+    assert "Exchange" not in _plan(found) and "step_" not in _plan(found)
+    capsys.readouterr()
+    found.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    # Longer methods are interpreted.
+    assert sizes and max(sizes) <= 8000
